@@ -10,6 +10,7 @@ from .common import Scratch, table
 from .exact_dedup import dedup_exact
 from .mixing import mix
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .url_filter import filter_urls
 
 
@@ -25,6 +26,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         return s.keep(filter_urls(table(spark, sf_dir, "pages"), s))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as s:
         return s.keep(mix(table(spark, sf_dir, "documents"), s).select("doc_id", "size", "source_size", "target", "taken", "copies"))
@@ -41,7 +47,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_url_filter, op7_mix_sources, op8_exact_dedup, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_url_filter, op4_quality, op7_mix_sources, op8_exact_dedup, op10_pack)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
