@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import format_conversations, read_back
 from .common import Scratch, table
 from .exact_dedup import dedup_exact
+from .language_model import score_texts
 from .mixing import mix
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
@@ -21,6 +22,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as s:
+        return s.keep(score_texts(table(spark, sf_dir, "documents"), s))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as s:
         return s.keep(filter_urls(table(spark, sf_dir, "pages"), s))
@@ -47,7 +53,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_url_filter, op4_quality, op7_mix_sources, op8_exact_dedup, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_url_filter, op4_quality, op7_mix_sources, op8_exact_dedup, op10_pack)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
