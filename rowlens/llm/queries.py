@@ -10,6 +10,7 @@ from .common import Scratch, table
 from .exact_dedup import dedup_exact
 from .language_model import score_texts
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .url_filter import filter_urls
@@ -47,13 +48,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return s.keep(dedup_exact(table(spark, sf_dir, "documents"), s))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as s:
+        return s.keep(near_dedup(table(spark, sf_dir, "documents"), s, size=2))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_url_filter, op4_quality, op7_mix_sources, op8_exact_dedup, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_url_filter, op4_quality, op7_mix_sources, op8_exact_dedup, op9_minhash_dedup, op10_pack)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
