@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
 from .common import Scratch, table
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import dedup_exact
 from .language_model import score_texts
 from .mixing import mix
@@ -38,6 +39,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as s:
+        return s.keep(embedding_dedup(table(spark, sf_dir, "embeddings"), s))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as s:
         return s.keep(mix(table(spark, sf_dir, "documents"), s).select("doc_id", "size", "source_size", "target", "taken", "copies"))
@@ -59,7 +65,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_url_filter, op4_quality, op7_mix_sources, op8_exact_dedup, op9_minhash_dedup, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_url_filter, op4_quality, op5_embedding_dedup, op7_mix_sources, op8_exact_dedup, op9_minhash_dedup, op10_pack)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
