@@ -14,6 +14,7 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .substring_dedup import substring_dedup
 from .url_filter import filter_urls
 
 
@@ -44,6 +45,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return s.keep(embedding_dedup(table(spark, sf_dir, "embeddings"), s))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as s:
+        return s.keep(substring_dedup(table(spark, sf_dir, "documents"), s))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as s:
         return s.keep(mix(table(spark, sf_dir, "documents"), s).select("doc_id", "size", "source_size", "target", "taken", "copies"))
@@ -65,7 +71,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_url_filter, op4_quality, op5_embedding_dedup, op7_mix_sources, op8_exact_dedup, op9_minhash_dedup, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_url_filter, op4_quality, op5_embedding_dedup, op6_suffix_dedup, op7_mix_sources, op8_exact_dedup, op9_minhash_dedup, op10_pack)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": r"""
