@@ -1,8 +1,72 @@
-"""The corpus pipeline: quality, exact copies, near copies, mixing, packing."""
+"""The corpus pipeline: quality, exact copies, near copies, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs; all but the
+last return the columns of documents. Rows that share a doc_id are one document and share its fate; rows without doc_id pass the two
+deduplications and are taken once by the mixing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowlens.llm.common import Scratch, remove_by_ids, table
+from rowlens.llm.exact_dedup import dedup_exact
+from rowlens.llm.mixing import mix
+from rowlens.llm.near_dedup import near_dedup
+from rowlens.llm.packing import pack_documents
+from rowlens.llm.quality import fit_quality, score_quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a score of at least 0.7; all of them if there are no labels to learn from."""
+    machine = fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    if not machine.rows:
+        return docs
+    return score_quality(docs, machine, *[c for c in docs.columns if c != "doc_id"]).filter("predicted = 1").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    with Scratch(spark) as s:
+        gone = s.keep(dedup_exact(docs, s).filter("not kept").select("doc_id"))
+    return remove_by_ids(docs, gone, "doc_id")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    with Scratch(spark) as s:
+        gone = s.keep(near_dedup(docs, s, size=5, percent=80).filter("not kept").select("doc_id"))
+    return remove_by_ids(docs, gone, "doc_id")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows of each document as the mix takes copies of it."""
+    with Scratch(spark) as s:
+        copies = s.keep(mix(docs, s).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")))
+    out = docs.join(copies, F.col("doc_id") == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
+    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality_stage), ("exact", exact_stage), ("near", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+
+#: A trained classifier, sampling and a tokenizer cannot be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, before = table(spark, sf_dir, "documents"), None
+    with Scratch(spark) as s:
+        for name, stage in STAGES[:-1]:
+            docs = s.save(stage(spark, docs, sf_dir), name)
+            if before is not None:
+                s.drop(before)
+            before = docs
+        return s.keep(STAGES[-1][1](spark, docs, sf_dir))

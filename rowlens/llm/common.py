@@ -87,14 +87,25 @@ def byte_list(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def prune_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key may be in ids (ids.key): a bitmap of at most 1 MB, whatever the input, is broadcast.
-
-    There are false positives, never false negatives; a join must follow. It only spares the shuffle of wide rows.
-    """
+def _maybe_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df with _hit: false where the key is surely not in ids (ids.key), by a bitmap of at most 1 MB whatever the input."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
     maps = ids.select(spot(F.col(key)).alias("_h")).groupBy(F.expr("bitmap_bucket_number(_h)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_h))").alias("_map"))
     out = df.withColumn("_h", spot(F.col(key))).withColumn("_bucket", F.expr("bitmap_bucket_number(_h)"))
-    out = out.join(F.broadcast(maps), "_bucket")  # at most BITS / 32768 rows of 4 KB
+    out = out.join(F.broadcast(maps), "_bucket", "left")  # at most BITS / 32768 rows of 4 KB
     hit = F.expr("(cast(conv(hex(substring(_map, cast(bitmap_bit_position(_h) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(bitmap_bit_position(_h) % 8 as int))) != 0")
-    return out.filter(hit).select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(hit, F.lit(False)).alias("_hit"))
+
+
+def prune_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key may be in ids. There are false positives, never false negatives; a join must follow.
+
+    It only spares the shuffle of wide rows, and spares less of it the more ids there are.
+    """
+    return _maybe_in(df, ids, key).filter("_hit").drop("_hit")
+
+
+def remove_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in ids; rows without a key stay. Only rows that may go are shuffled."""
+    marked = _maybe_in(df, ids, key)
+    return marked.filter("not _hit").drop("_hit").unionByName(marked.filter("_hit").drop("_hit").join(ids.select(key), key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns]))

@@ -63,6 +63,7 @@ class Machine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    rows: int = 0  # that it was fitted on
 
     def margins(self, at: np.ndarray, value: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Margins of documents whose features start at starts (each has at least its statistics)."""
@@ -79,6 +80,7 @@ def fit(at: list[np.ndarray], value: list[np.ndarray], labels: np.ndarray, seed:
     if not len(labels):
         m.factors[:] = 0
         return m
+    m.rows = len(labels)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     m.bias = math.log(share / (1 - share))
     g_w, g_v, g_b = np.full(SIZE, 1e-6, dtype=np.float32), np.full((SIZE, RANK), 1e-6, dtype=np.float32), 1e-6
