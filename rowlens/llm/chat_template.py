@@ -177,7 +177,7 @@ def parse(source: str) -> tuple:
     stack: list[list] = [["block"]]  # each open tag: its head, then the nodes of its body so far
 
     def close(kind: str) -> list:
-        if stack[-1][0] != kind:
+        if not stack or stack[-1][0] != kind:
             raise TemplateError(f"end of {kind} without its start")
         return stack.pop()
 
