@@ -108,7 +108,7 @@ def _keyed_report(c: Comparison) -> Report:
     totals = keyed_totals(planned)
     struct_of = lambda df: F.struct(*[F.col(x) for x in df.columns])
     some = keyed_samples(planned, c.options.samples) if limit is None else first_differences(planned, limit).withColumn("place", F.monotonically_increasing_id())
-    some = some.select("change", "left_key", "right_key", "left_row", "right_row", "differs", "place", *planned.order)
+    some = some.select("change", "key", "left_row", "right_row", "differs", "place", *planned.order)
     both = totals.select(struct_of(totals).alias("totals")).withColumn("sample", F.lit(None).cast(some.schema.simpleString()))
     both = both.unionByName(some.select(F.lit(None).cast(both.schema["totals"].dataType).alias("totals"), struct_of(some).alias("sample")))
     got = both.collect()  # one row of totals, and at most 3 * samples or fail_fast rows
@@ -125,12 +125,12 @@ def _keyed_report(c: Comparison) -> Report:
         counts = {k: sum(s["change"] == k for s in samples) for k in counts}
         changed = {p.label: n for j, p in enumerate(c.pairs) if (n := sum(bool(s["differs"] and s["differs"][j]) for s in samples))}
     report = Report(c.schema, c.key, c.inferred, False, (t["n_left"], t["n_right"]), **counts, columns_changed=changed, truncated=truncated)
-    for kind, out, side in (("added", report.added_samples, "right_key"), ("removed", report.removed_samples, "left_key")):
+    for kind, out in (("added", report.added_samples), ("removed", report.removed_samples)):
         for s in [s for s in samples if s["change"] == kind][: c.options.samples]:
-            out.append(Sample([(k, plain(s[side][i])) for i, k in enumerate(c.key)]))
+            out.append(Sample([(k, plain(s["key"][i])) for i, k in enumerate(c.key)]))
     for s in [s for s in samples if s["change"] == "modified"][: c.options.samples]:
         changes = [(p.label, quoted(s["left_row"][j]), quoted(s["right_row"][j])) for j, p in enumerate(c.pairs) if s["differs"][j]]
-        report.modified_samples.append(ModifiedSample([(k, plain(s["left_key"][i])) for i, k in enumerate(c.key)], changes))
+        report.modified_samples.append(ModifiedSample([(k, plain(s["key"][i])) for i, k in enumerate(c.key)], changes))
     return report
 
 

@@ -27,7 +27,7 @@ class Pair:
 
 @dataclass(frozen=True)
 class KeyedPlan:
-    """rows: one row per key with change (added, removed, modified, same), duplicate flags, both sides' key and values, and differs (booleans by pair)."""
+    """rows: one row per key with change (added, removed, modified, same), duplicate flags, the key, both sides' values, and differs (booleans by pair)."""
 
     rows: DataFrame
     key: list[str]
@@ -59,11 +59,21 @@ def _one_per_key(side: Side, other: Side, key: list[str], names: list[str], tag:
             columns += [form.isNotNull().alias(f"{tag}n{i}"), F.coalesce(form, filler).alias(f"{tag}k{i}")]
             places += [f"{tag}n{i}", f"{tag}k{i}"]
     values = F.struct(*[side.column(n).alias(f"v{j}") for j, n in enumerate(names)]) if names else F.struct(F.lit(1).alias("none"))
-    shown = F.struct(*[side.column(k).alias(f"k{i}") for i, k in enumerate(key)])
-    rows = side.df.select(*columns, shown.alias(f"{tag}key"), values.alias(f"{tag}row"))
     w = Window.partitionBy(*places).orderBy(*places)
-    rows = rows.withColumn(f"{tag}at", F.row_number().over(w)).withColumn(f"{tag}twice", F.lead(F.lit(True)).over(w).isNotNull())
-    return rows.filter(F.col(f"{tag}at") == 1), places
+    # Neighbours, not a rank: a filter on a rank would be planned as a limit with a sort of its own before the shuffle.
+    rows = side.df.select(*columns, values.alias(f"{tag}row")).withColumn(f"{tag}again", F.lag(F.lit(True)).over(w)).withColumn(f"{tag}twice", F.lead(F.lit(True)).over(w).isNotNull())
+    return rows.filter(F.col(f"{tag}again").isNull()).withColumn(f"{tag}here", F.lit(True)), places
+
+
+def _key_struct(places: list[str], mine: str, other: str) -> Column:
+    """The key as matched (k0, k1, ...), from whichever side has the row."""
+    out = []
+    for name in [n for n in places if n.startswith(f"{mine}k")]:
+        k = F.coalesce(F.col(name), F.col(other + name.removeprefix(mine)))
+        flag = name.replace("_k", "_n")
+        k = F.when(F.coalesce(F.col(flag), F.col(other + flag.removeprefix(mine))), k) if flag in places else k["x"]
+        out.append(k.alias(name.removeprefix(mine)))
+    return F.struct(*out).alias("key")
 
 
 def compare_keyed(left: Side, right: Side, key: list[str], pairs: list[Pair], tolerance: Tolerance) -> KeyedPlan:
@@ -71,7 +81,7 @@ def compare_keyed(left: Side, right: Side, key: list[str], pairs: list[Pair], to
     b, b_key = _one_per_key(right, left, key, [p.right for p in pairs], "b_")
     on = [F.col(x) == F.col(y) for x, y in zip(a_key, b_key, strict=True)]
     rows = a.join(b, on, "full_outer")
-    in_a, in_b = F.col("a_at").isNotNull(), F.col("b_at").isNotNull()
+    in_a, in_b = F.col("a_here").isNotNull(), F.col("b_here").isNotNull()
     differs = [~equal(F.col("a_row")[f"v{j}"], left.kinds[p.left], F.col("b_row")[f"v{j}"], right.kinds[p.right], tolerance) for j, p in enumerate(pairs)]
     flags = F.array(*differs) if differs else F.array().cast("array<boolean>")
     rows = rows.withColumn("differs", F.when(in_a & in_b, flags))
@@ -80,7 +90,7 @@ def compare_keyed(left: Side, right: Side, key: list[str], pairs: list[Pair], to
     rows = rows.select(
         change.alias("change"), in_a.alias("in_left"), in_b.alias("in_right"), F.coalesce("a_twice", F.lit(False)).alias("left_twice"), F.coalesce("b_twice", F.lit(False)).alias("right_twice"),
         *[F.coalesce(F.col(x), F.col(y)).alias(o) for x, y, o in zip(a_key, b_key, order, strict=True)],
-        F.col("a_key").alias("left_key"), F.col("b_key").alias("right_key"), F.col("a_row").alias("left_row"), F.col("b_row").alias("right_row"), "differs",
+        _key_struct(a_key, "a_", "b_"), F.col("a_row").alias("left_row"), F.col("b_row").alias("right_row"), "differs",
     )
     return KeyedPlan(rows, key, pairs, order)
 

@@ -75,7 +75,7 @@ def keyed_counts(spark, sf_dir):
 @query(f"WITH {_ORDERS} SELECT k AS o_orderkey, change FROM j WHERE change <> 'same'")
 def keyed_diff_rows(spark, sf_dir):
     c = plan(*_orders(spark, sf_dir), Options(key=("o_orderkey",))).keyed()
-    return c.rows.filter("change != 'same'").select(F.coalesce(F.col("left_key.k0"), F.col("right_key.k0")).alias("o_orderkey"), "change")
+    return c.rows.filter("change != 'same'").select(F.col("key.k0").alias("o_orderkey"), "change")
 
 
 @query(f"WITH {_ORDERS} SELECT 'o_totalprice' AS name, count(*) AS n FROM j WHERE in_left AND in_right AND old_price IS DISTINCT FROM new_price UNION ALL SELECT 'o_orderpriority', count(*) FROM j WHERE in_left AND in_right AND old_priority IS DISTINCT FROM new_priority")
@@ -88,7 +88,7 @@ def keyed_column_changes(spark, sf_dir):
 @query(f"WITH {_ORDERS}, t AS (SELECT change, k, row_number() OVER (PARTITION BY change ORDER BY k) AS place FROM j WHERE change <> 'same') SELECT change, k AS o_orderkey, place FROM t WHERE place <= 10")
 def samples_topn(spark, sf_dir):
     c = plan(*_orders(spark, sf_dir), Options(key=("o_orderkey",))).keyed()
-    return keyed_samples(c, 10).select("change", F.coalesce(F.col("left_key.k0"), F.col("right_key.k0")).alias("o_orderkey"), F.col("place").cast("long").alias("place"))
+    return keyed_samples(c, 10).select("change", F.col("key.k0").alias("o_orderkey"), F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {_ORDERS}, t AS (SELECT change FROM j WHERE change <> 'same' ORDER BY k LIMIT 25) SELECT change, count(*) AS n FROM t GROUP BY change")
