@@ -160,8 +160,8 @@ j AS (SELECT l.c_acctbal IS NOT NULL AS in_left, r.c_acctbal IS NOT NULL AS in_r
 SELECT """ + _COUNTS + " FROM j")
 def null_key_match(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    ends = c.agg(F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi"))
-    sides = [c.crossJoin(F.broadcast(ends)).select(F.when(F.col("c_custkey") != F.col(e), F.col("c_custkey")).alias("c_custkey"), "c_acctbal") for e in ("lo", "hi")]  # ends: one row
+    ends = c.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    sides = [c.select(F.when(F.col("c_custkey") != e, F.col("c_custkey")).alias("c_custkey"), "c_acctbal") for e in ends]
     return _counts(*sides, key=("c_custkey",))
 
 
