@@ -9,9 +9,9 @@ from ..functions.cells import comparable, key_form
 from ..plans.config import DiffError
 from .frames import Side
 
-#: Rows of each side that inference looks at: 100,000, in whole batches of 8192.
+# Fixed values. Rows of each side that inference looks at: 100,000, in whole batches of 8192; and
+# endings of names that are tried before others, after a column named id.
 KEY_SAMPLE = 106_496
-#: Endings of names that are tried before others, after a column named id.
 KEY_ENDINGS = ("_id", "key", "pk", "uuid")
 
 

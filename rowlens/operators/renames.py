@@ -9,7 +9,7 @@ from ..functions.cells import content, equal
 from ..plans.schema import Rename, SchemaDiff
 from .frames import Side
 
-#: Rows of each side that are looked at: 10,000, in whole batches of 8192.
+# Fixed values. Rows of each side that are looked at: 10,000, in whole batches of 8192; and what counts as a rename.
 RENAME_SAMPLE = 16_384
 MIN_MATCHED, MIN_RATE = 20, 0.95  # keyed: matched keys, and share of equal values
 MIN_DISTINCT, MIN_JACCARD = 8, 0.85  # keyless: distinct values on each side, and overlap of the value sets

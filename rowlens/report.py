@@ -10,6 +10,17 @@ import numpy as np
 
 from .plans.schema import SchemaDiff
 
+# The wording of text reports, which scripts and readers rely on.
+IDENTICAL = "identical"
+RENAMED = "renamed, {:.0f}% content match"
+KEYLESS = "none — keyless mode{} (rows matched by content; edits appear as - old / + new)"
+AUTO = " [auto: no unique key column found]"
+INFERRED = " (inferred)"
+NO_ROWS = "no row differences"
+MORE = "… {} more row difference(s) not shown (use --samples N)"
+STOPPED = "(scan stopped early by --fail-fast; counts are lower bounds)"
+NOTHING = "No differences found."
+
 
 @dataclass
 class Sample:
@@ -69,20 +80,19 @@ class Report:
         paint = (lambda code, s: f"\x1b[{code}m{s}\x1b[0m") if color else (lambda code, s: s)
         green, red, yellow, bold = "32", "31", "33", "1"
         lines = [paint(bold, "Schema")]
-        lines += ["  identical"] if self.schema.empty else []
+        lines += ["  " + IDENTICAL] if self.schema.empty else []
         lines += ["  " + paint(green, f"+ {c.name} ({c.data_type})") for c in self.schema.added]
         lines += ["  " + paint(red, f"- {c.name} ({c.data_type})") for c in self.schema.removed]
         lines += ["  " + paint(yellow, f"~ {c.name}: {c.left} → {c.right}") for c in self.schema.type_changed]
-        lines += ["  " + paint(yellow, f"~ {r.left} → {r.right} (renamed, {100 * r.similarity:.0f}% content match)") for r in self.schema.renamed]
+        lines += ["  " + paint(yellow, f"~ {r.left} → {r.right} ({RENAMED.format(100 * r.similarity)})") for r in self.schema.renamed]
         if self.keyless:
-            auto = " [auto: no unique key column found]" if self.inferred else ""
-            lines.append(f"{paint(bold, 'Key')}: none — keyless mode{auto} (rows matched by content; edits appear as - old / + new)")
+            lines.append(f"{paint(bold, 'Key')}: " + KEYLESS.format(AUTO if self.inferred else ""))
         else:
-            lines.append(f"{paint(bold, 'Key')}: {', '.join(self.key)}" + (" (inferred)" if self.inferred else ""))
+            lines.append(f"{paint(bold, 'Key')}: {', '.join(self.key)}" + (INFERRED if self.inferred else ""))
         lines.append(f"{paint(bold, 'Rows')}: {self.rows[0]} → {self.rows[1]}")
         total = self.added + self.removed + self.modified
         if not total:
-            lines.append("  no row differences")
+            lines.append("  " + NO_ROWS)
         else:
             changed = ", ".join(f"{k}: {v}" for k, v in sorted(self.columns_changed.items()))
             lines += ["  " + paint(green, f"+ {self.added} added"), "  " + paint(red, f"- {self.removed} removed"), "  " + paint(yellow, f"~ {self.modified} modified") + (f"  ({changed})" if changed else ""), ""]
@@ -92,11 +102,11 @@ class Report:
                 lines += [paint(code, f"{mark} {row(s.row)}" + (f" ×{s.count}" if s.count > 1 else "")) for s in some]
             shown = len(self.modified_samples) + sum(s.count for s in self.added_samples + self.removed_samples)
             if total > shown:
-                lines.append(f"… {total - shown} more row difference(s) not shown (use --samples N)")
+                lines.append(MORE.format(total - shown))
         if self.truncated:
-            lines.append("(scan stopped early by --fail-fast; counts are lower bounds)")
+            lines.append(STOPPED)
         if not self.has_differences:
-            lines += ["", "No differences found."]
+            lines += ["", NOTHING]
         return "\n".join(lines) + "\n"
 
 
