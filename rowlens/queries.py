@@ -5,11 +5,14 @@ The driver's tables have one version each, so each query derives a second versio
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .api import plan
+from .api import diff_frames, plan
 from .functions.cells import comparable, key_form
 from .operators.frames import Side
 from .operators.keyed import first_differences, keyed_samples, keyed_totals
@@ -18,7 +21,7 @@ from .operators.keys import candidates, duplicate_keys, order_violations, profil
 from .operators.renames import jaccard_scores, keyed_scores
 from .plans.config import Options
 from .plans.schema import compare_schemas
-from .sources.files import infer_csv
+from .sources.files import infer_csv, read_table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -334,3 +337,40 @@ def csv_types(spark, sf_dir):
 def key_unification(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("k"))
     return orders.select("k", key_form(F.col("k"), T.LongType(), T.IntegerType()).alias("form")).groupBy("k", "form").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_ORDERS}, t AS (SELECT {_COUNTS} FROM j) SELECT * FROM (SELECT 'n_left' AS name, n_left AS n FROM t UNION ALL SELECT 'n_right', n_right FROM t UNION ALL SELECT 'added', added FROM t UNION ALL SELECT 'removed', removed FROM t UNION ALL SELECT 'modified', modified FROM t UNION ALL SELECT 'shown', least(10, added) + least(10, removed) + least(10, modified) FROM t)")
+def report_counts(spark, sf_dir):
+    r = diff_frames(*_orders(spark, sf_dir), key="o_orderkey").to_dict()
+    rows = [("n_left", r["rows"]["left"]), ("n_right", r["rows"]["right"]), *r["diff"].items(), ("shown", sum(len(v) for v in r["samples"].values()))]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
+@query("SELECT * FROM (VALUES ('orders', 'o_orderkey', TRUE, FALSE), ('lineitem', '', TRUE, TRUE), ('keyless', '', FALSE, TRUE), ('given', 'o_custkey,o_orderkey', FALSE, FALSE)) AS t(input, key, inferred, keyless)")
+def mode_selection(spark, sf_dir):
+    orders, lines = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_discount")
+    cases = {"orders": plan(orders, orders), "lineitem": plan(lines, lines), "keyless": plan(orders, orders, Options(keyless=True)), "given": plan(orders, orders, Options(key=("o_custkey", "o_orderkey")))}
+    return spark.createDataFrame([(n, ",".join(c.key or []), c.inferred, c.key is None) for n, c in cases.items()], "input string, key string, inferred boolean, keyless boolean")
+
+
+@query("SELECT 'o_totalprice' AS left_name, 'price' AS right_name, CAST(count(*) FILTER (o_orderkey % 200 <> 0) AS DOUBLE) / count(*) AS similarity FROM orders WHERE o_orderkey % 3 <> 0")
+def rename_detected(spark, sf_dir):
+    left = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").filter("o_orderkey % 3 != 0")
+    right = left.select("o_orderkey", F.expr("case when o_orderkey % 200 = 0 then o_totalprice + 1 else o_totalprice end").alias("price"), F.lit("?").alias("state"))
+    found = plan(left, right, Options(key=("o_orderkey",))).schema.renamed
+    return spark.createDataFrame([(r.left, r.right, r.similarity) for r in found], "left_name string, right_name string, similarity double")
+
+
+@query(f"WITH {_ORDERS}, k AS (SELECT coalesce(l.o_orderkey, r.o_orderkey) AS k, l.o_orderkey IS NOT NULL AS in_left, r.o_orderkey IS NOT NULL AS in_right, CASE WHEN l.o_orderkey IS NULL THEN 'added' WHEN r.o_orderkey IS NULL THEN 'removed' WHEN l.o_totalprice IS DISTINCT FROM r.o_totalprice OR l.o_orderpriority IS DISTINCT FROM r.o_orderpriority THEN 'modified' ELSE 'same' END AS change FROM (SELECT * FROM l WHERE o_orderpriority IS DISTINCT FROM '2-HIGH' AND o_totalprice > 50000) l FULL OUTER JOIN (SELECT * FROM r WHERE o_orderpriority IS DISTINCT FROM '2-HIGH' AND o_totalprice > 50000) r ON l.o_orderkey = r.o_orderkey) SELECT {_COUNTS} FROM k")
+def where_both_sides(spark, sf_dir):
+    return _counts(*_orders(spark, sf_dir), key=("o_orderkey",), where="o_orderpriority != '2-HIGH' AND o_totalprice > 50000")
+
+
+@query("SELECT count(*) AS n_left, count(*) AS n_right, 0 AS added, 0 AS removed, count(*) FILTER (p_partkey % 10 = 0) AS modified FROM part")
+def cross_format(spark, sf_dir):
+    """part as Parquet against part written to CSV, with some sizes changed on the way, and read with inferred types."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
+    at = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='rowlens-')}/{uuid.uuid4().hex}.csv"
+    part.withColumn("p_size", F.expr("case when p_partkey % 10 = 0 then p_size + 1 else p_size end")).write.option("header", True).csv(at)
+    got = _counts(part, read_table(spark, at).df, key=("p_partkey",))
+    return got.select("n_left", "n_right", F.col("added").cast("int").alias("added"), F.col("removed").cast("int").alias("removed"), "modified")
