@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python a thousand at a time, some megabytes, in place of ten thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared folder, removed when the block ends.
 
@@ -38,6 +43,7 @@ class Scratch:
         self.paths: list[str] = []
 
     def __enter__(self) -> Scratch:
+        small_batches(self.spark)
         return self
 
     def __exit__(self, *_) -> None:

@@ -29,7 +29,7 @@ SIGNATURE = BANDS * ROWS
 #: Chance that a pair at the threshold shares no band: (1 - 0.8 ** ROWS) ** BANDS, 2e-6; and to be pruned by the posterior:
 MISS = 1e-6
 STEP = 20  # hashes compared between two looks at the posterior
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 2048, 500_000  # classes of a block, and shingles of their sets (4 MB), at most about
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(1, 1 << 31, SIGNATURE, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _rng.integers(0, 1 << 32, SIGNATURE, dtype=np.int64).astype(np.uint32)
@@ -176,24 +176,60 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return prune_by_ids(docs.select("doc_id", "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, f"id {kind}, set binary")
 
 
-def _across(rows: DataFrame, least: dict[int, int]) -> DataFrame:
-    """Candidate pairs of different components in each block pair (rows: bucket, i, j, block, id, component, sig)."""
+def _block_pairs(pdf: pd.DataFrame, least: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left row of a block pair, the right rows of other components whose signatures are close enough (rows by place)."""
+    bucket, i, j = (int(pdf[c].iloc[0]) for c in ("bucket", "i", "j"))
+    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(-1, SIGNATURE)
+    own = buckets(sig)
+    ids, comp, block = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    band = int(np.flatnonzero((own == bucket).all(axis=0))[0])
+    for x in left:
+        y = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if i == j else ids[right] != ids[x])]
+        y = y[~(own[y, :band] == own[x, :band]).any(axis=1)]  # the first band that two classes share has their pair
+        if len(y):
+            y = y[likely(np.broadcast_to(sig[x], (len(y), SIGNATURE)), sig[y], least)]
+        if len(y):
+            yield int(x), y
+
+
+def _involved(rows: DataFrame, least: dict[int, int]) -> DataFrame:
+    """The rows of each block pair (bucket, i, j, block, id, component, sig) that are in a candidate pair, without sig."""
+    names = ["bucket", "i", "j", "block", "id", "component"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        met = np.zeros(len(pdf), dtype=bool)
+        for x, y in _block_pairs(pdf, least):
+            met[x] = True
+            met[y] = True
+        return pdf.loc[met, names]
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy("bucket", "i", "j").applyInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+
+
+def _joining(rows: DataFrame, least: dict[int, int], percent: int) -> DataFrame:
+    """Links (a, b) that join components in a block pair, verified on full sets: for any two, as few as connect them."""
     kind = dict(rows.dtypes)["id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket, i, j = (int(pdf[c].iloc[0]) for c in ("bucket", "i", "j"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(-1, SIGNATURE)
-        own = buckets(sig)
-        ids, comp, block = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        band = int(np.flatnonzero((own == bucket).all(axis=0))[0])
-        found = []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if i == j else ids[right] != ids[x])]
-            y = y[~(own[y, :band] == own[x, :band]).any(axis=1)]  # the first band that two classes share has their pair
-            y = y[likely(np.broadcast_to(sig[x], (len(y), SIGNATURE)), sig[y], least)] if len(y) else y
-            found.append(pd.DataFrame({"a": np.repeat(ids[x], len(y)), "b": ids[y]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []})
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["set"]]
+        size, ids = np.array([len(x) for x in sets]), pdf["id"].to_numpy()
+        part = pdf["component"].to_numpy().copy()
+        out = []
+        for x, y in _block_pairs(pdf, least):
+            y = y[part[y] != part[x]]
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            if not len(y):
+                continue
+            flat = np.concatenate([sets[k] for k in y])
+            at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
+            both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[y])[:-1]]))
+            for k in y[100 * both >= percent * (size[x] + size[y] - both)]:
+                if part[k] != part[x]:
+                    part[part == part[k]] = part[x]
+                    out.append((ids[x], ids[k]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return rows.groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}").distinct()
 
@@ -209,12 +245,15 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     """
     least = least_matches(percent / 100)
     sketch = scratch.save(_sketch(docs, size), "sketch")
-    classes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"))
+    classes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
     classes = scratch.save(classes, "classes")
+    whole, sketch = sketch, scratch.save(sketch.select("doc_id", "n_shingles", "digest"), "sketch")  # signatures are in classes from here on
+    scratch.drop(whole)
     bands = scratch.save(_bands(classes), "bands")
-    leaders = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1 and leader != last")
+    leaders = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader != last")
     leaders = scratch.save(leaders, "leaders")
     shared = scratch.save(bands.join(leaders, "bucket"), "shared")  # only buckets of several classes
+    scratch.drop(bands)
     ids = scratch.save(shared.select("id").distinct(), "ids")
     sets = scratch.save(_sets(docs, ids, size), "sets")
     first = shared.select(F.col("id").alias("a"), F.col("leader").alias("b")).union(shared.select(F.col("id").alias("a"), F.col("last").alias("b"))).filter("a != b").distinct()
@@ -222,16 +261,18 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     links = scratch.save(_verified(pairs, sets, percent), "links")
     nodes = components(links, scratch)
 
-    # Buckets that still hold several components: pairs across them, block by block.
-    labelled = shared.select("bucket", "id", "n").join(nodes, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    # Buckets that still hold several components: pairs across them, block by block, first on signatures, then on the sets of
+    # those that may link.
+    labelled = shared.select("bucket", "id").join(nodes, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     labelled = scratch.save(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    rest = labelled.join(scratch.save(mixed, "mixed"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = labelled.join(scratch.save(mixed, "mixed"), "bucket").join(classes.select("id", "n"), "id")
+    weight = scratch.save(rest.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "weight")
+    rest = rest.join(weight, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
     rest = scratch.save(rest, "rest")
-    more = _across(rest.join(classes.select("id", "sig"), "id"), least)
-    more = scratch.save(_verified(scratch.save(more, "more"), sets, percent), "links")
+    met = scratch.save(_involved(rest.join(classes.select("id", "sig"), "id"), least), "met")
+    more = scratch.save(_joining(met.join(classes.select("id", "sig"), "id").join(sets, "id"), least, percent), "joining")
     if not more.isEmpty():
         nodes = components(links.union(more), scratch)
 
