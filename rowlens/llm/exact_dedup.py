@@ -8,6 +8,7 @@ document that stays, so a digest collision cannot drop a document.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,9 +98,7 @@ def _locator(docs: DataFrame) -> list[Column]:
     """Where a document's content lies, if docs is read from files: file name and row number."""
     try:
         docs.select("_metadata.file_name", "_metadata.row_index")
-    except Exception as error:
-        if "UNRESOLVED" not in str(error) and "cannot be resolved" not in str(error) and "_metadata" not in str(error):
-            raise
+    except AnalysisException:  # not read from files
         return [F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row")]
     return [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
 
