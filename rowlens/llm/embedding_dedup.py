@@ -31,8 +31,8 @@ SLACK = 1e-9
 
 
 def parameters(n: int, width: int) -> tuple[int, int]:
-    """Functions and tables for n vectors: buckets at least as many as vectors, and tables that keep the recall."""
-    functions = max(FUNCTIONS, math.ceil(math.log(max(2, n)) / math.log(2 * width)))
+    """Functions and tables for n vectors: 32 buckets for each at least, so that chance meetings stay few, and tables that keep the recall."""
+    functions = max(FUNCTIONS, math.ceil(math.log(32 * max(1, n)) / math.log(2 * width)))
     return functions, min(60, round(TABLES * 1.4 ** (functions - FUNCTIONS)))
 
 
