@@ -20,7 +20,7 @@ from rowlens.llm.quality import fit_quality, score_quality
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a score of at least 0.7; all of them if there are no labels to learn from."""
-    machine = fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    machine = fit_quality(docs, table(spark, sf_dir, "labels"))
     if not machine.rows:
         return docs
     return score_quality(docs, machine, *[c for c in docs.columns if c != "doc_id"]).filter("predicted = 1").select(*docs.columns)
@@ -44,7 +44,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """As many rows of each document as the mix takes copies of it."""
     with Scratch(spark) as s:
         copies = s.keep(mix(docs, s).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")))
-    out = docs.join(copies, F.col("doc_id") == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
+    # Always a join of sorted sides: the copies of a large corpus are no table to broadcast.
+    out = docs.join(copies.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
     return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -17,7 +17,8 @@ from .common import SPACE, Scratch, prune_by_ids
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of a stream that has ended are let go this soon
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's store takes megabytes before it holds a row
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_list, prune_by_ids
+from .common import Scratch, byte_list, prune_by_ids, tidy
 from .graph import components
 
 BANDS, ROWS = 25, 4
@@ -111,7 +111,7 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, sig binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _bands(classes: DataFrame) -> DataFrame:
                 ids = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
                 yield pa.RecordBatch.from_arrays([pa.array(got.reshape(-1)), b.column("id").take(ids)], names=["bucket", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, f"bucket long, id {dict(classes.dtypes)['id']}")
+    return classes.select("id", "sig").mapInArrow(tidy(run), f"bucket long, id {dict(classes.dtypes)['id']}")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -140,7 +140,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, least: dict[int, int]) -> Data
                 yield pa.RecordBatch.from_arrays([b.column("a").take(on), b.column("b").take(on)], names=["a", "b"])
 
     sides = [classes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), f"a {kind}, b {kind}").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     kind = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 64) for b in batches for lo in range(0, b.num_rows, 64)):
             on = []
             for i, (x, y) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], names=["a", "b"])
 
     sides = [sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), f"a {kind}, b {kind}").distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -173,7 +173,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 b = whole.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t, size).tobytes() for t in byte_list(b.column("text"))], type=pa.binary())], names=["id", "set"])
 
-    return prune_by_ids(docs.select("doc_id", "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, f"id {kind}, set binary")
+    return prune_by_ids(docs.select("doc_id", "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(tidy(run), f"id {kind}, set binary")
 
 
 def _block_pairs(pdf: pd.DataFrame, least: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, id_crc
+from .common import byte_list, id_crc, small_batches, tidy
 
 WORDS = 1 << 14
 RANK = 8
@@ -120,9 +120,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
             found = [features(t, s) for t, s in zip(byte_list(b.column("text")), b.column("n_chars").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([f[0].astype("<i4").tobytes() for f in found], type=pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], type=pa.binary())], names=["doc_id", "quality", "at", "value"])
 
+    small_batches(docs.sparkSession)
     kinds = dict(usable.dtypes)
     rows = _with_chars(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text", "n_chars")  # drawn: about fit_rows ids and labels
-    got = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, at binary, value binary").collect()
+    got = rows.mapInArrow(tidy(run), f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, at binary, value binary").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["value"])))
     return fit([np.frombuffer(r["at"], dtype="<i4") for r in got], [np.frombuffer(r["value"], dtype="<f4") for r in got], np.array([r["quality"] for r in got], dtype=float))
 
@@ -138,6 +139,7 @@ def score_quality(docs: DataFrame, machine: Machine, *carry: str) -> DataFrame:
     scored by their statistics. A null doc_id counts as empty text for held_out. Repeated rows are scored each; an empty
     table gives no rows. Labels, lang, source and doc_id are no inputs of the score.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     names = ["doc_id", *carry]
 
@@ -152,5 +154,5 @@ def score_quality(docs: DataFrame, machine: Machine, *carry: str) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     chars = (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("_chars")
-    out = docs.select(*names, F.col("text").alias("_text"), chars).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double")
+    out = docs.select(*names, F.col("text").alias("_text"), chars).mapInArrow(tidy(run), ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double")
     return out.select(*names, (id_crc(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
