@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -20,16 +21,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small_batches, tidy
+
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens of a step group: about as many in each optimiser step, whatever the lengths of its sequences.
 STEP_TOKENS = 64 * 2048
 WINDOW_TOKENS = 1 << 20
-CACHE_WORDS, CACHE_CHARS = 400_000, 48  # a worker keeps up to twice as many words, about 200 MB
+CACHE_WORDS, CACHE_CHARS = 250_000, 48  # a worker keeps up to twice as many words, about 80 MB
+MARKS = ".,!?%$#&*|;:"  # signs that never join what stands before them
 BETWEEN = "<|endoftext|>"
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether a word ends in a letter or digit that normalising and lower-casing leave one letter or digit."""
+    c = word[-1]
+    return c.isalnum() and (c.isascii() or (len(c.lower()) == 1 and c.lower().isalnum() and unicodedata.is_normalized("NFC", c + c.lower())))
+
+
 class WordTokenizer:
     """Ids of a text by a tokenizer that drops white space, word by word with a bounded cache.
 
@@ -42,24 +52,38 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
+        self.ends = None  # which ids end a word, if the vocabulary marks them
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, many to a call with a special token between them; words that may hold one go alone."""
-        out = {}
-        for lo in range(0, len(words), 512):
-            some = [w for w in words[lo : lo + 512] if "<|" not in w]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([BETWEEN.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = 4 * np.flatnonzero(ids == self.tokenizer.token_to_id(BETWEEN))
-            if len(cuts) + 1 != len(some):  # not a tokenizer that keeps the separator apart
-                ids, some = ids[:0], []
-                odd_ones = self.tokenizer.encode_batch_fast(words[lo : lo + 512], add_special_tokens=False)
-                out.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(words[lo : lo + 512], odd_ones, strict=True))
-            packed = ids.tobytes()
-            out.update((w, packed[i:j]) for w, i, j in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(packed)], strict=False))
-        odd = [w for w in words if "<|" in w]
-        return out | {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True)}
+        """Ids of words, many to a call: words of letters alone with spaces between, told apart by the tokens that end a
+        word; others with a special token between; and one by one where neither tells them apart or a word may hold a special token."""
+        out, alone = {}, [w for w in words if "<|" in w]
+        plain = [w for w in words if w.isalpha()] if self.ends is not None else []
+        other = [w for w in words if "<|" not in w and not (self.ends is not None and w.isalpha())]
+        for some, between in ((plain, " "), (other, BETWEEN)):
+            for lo in range(0, len(some), 512):
+                part = some[lo : lo + 512]
+                ids = np.asarray(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+                if between == " ":
+                    starts = ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+                    starts, whole = [0, *starts[:-1].tolist()], len(ends) == len(part)
+                else:
+                    cuts = 4 * np.flatnonzero(ids == self.between)
+                    starts, ends, whole = [0, *(cuts + 4).tolist()], np.append(cuts, 4 * len(ids)), len(cuts) + 1 == len(part)
+                if whole:
+                    packed = ids.tobytes()
+                    out.update((w, packed[i:j]) for w, i, j in zip(part, starts, ends.tolist(), strict=True))
+                else:
+                    alone += part
+        found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else []
+        return out | {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(alone, found, strict=True)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -67,15 +91,30 @@ class WordTokenizer:
         parts = [(t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")).replace("\n", " ").split(" ") for t in texts]
         if len(self.young) > CACHE_WORDS:  # words not met since the last turn are forgotten
             self.young, self.old = {"": b""}, self.young
-        missing = set().union(*parts).difference(self.young)
-        back = {w: self.old[w] for w in missing if w in self.old}
-        self.young.update(back)
+        young, old, rare = self.young, self.old, {}
+        missing = {w for p in parts for w in p if w not in young}
+        back = {w: old[w] for w in missing if w in old}
+        young.update(back)
         missing.difference_update(back)
-        rare = {}
-        for w, ids in self.learn(list(missing)).items():
-            (self.young if len(w) <= CACHE_CHARS else rare)[w] = ids
-        get = (lambda w, a=self.young, b=rare: a[w] if w in a else b[w]) if rare else self.young.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        # A word with marks after a letter or digit is cut there by the tokenizer too: its stem and its marks are looked up apart.
+        joined, new = {}, set()
+        for w in missing:
+            stem = w.rstrip(MARKS)
+            if stem and len(stem) < len(w) and _ends_in_letter(stem) and "<|" not in w:
+                joined[w] = halves = (stem, w[len(stem) :])
+                new.update(x for x in halves if x not in young)
+            else:
+                new.add(w)
+        found = self.learn(list(new))
+        for w, (stem, marks) in joined.items():  # kept from the second time on, when the stem is known
+            (young if stem in young and len(w) <= CACHE_CHARS else rare)[w] = (found[stem] if stem in found else young[stem]) + (found[marks] if marks in found else young[marks])
+        for w, ids in found.items():
+            (young if len(w) <= CACHE_CHARS else rare)[w] = ids
+        young.update(rare)
+        out = [b"".join(map(young.__getitem__, p)) for p in parts]
+        for w in rare:
+            del young[w]
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -177,6 +216,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False,
     document lies in exactly one piece; a sequence's pieces are gapless from offset 0; every sequence is exactly a power
     of two long, at most the longest tier. Results depend on how the scan splits its input, which a retried task repeats.
     """
+    small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
     schema = SCHEMA.format(id=id_type) + (", ids binary" if with_ids else "")
 
@@ -210,9 +250,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False,
                 longs = [pa.field(n.split()[0], pa.int64()) for n in SCHEMA.split(", ")[1:]]
                 out_schema = pa.schema([pa.field("doc_id", batch.schema.field("doc_id").type), *longs, *([pa.field("ids", pa.binary())] if with_ids else [])])
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, len(keys), 256):
-                found = encode([t or "" for t in texts.slice(at, 256).to_pylist()])
-                for key, ids in zip(keys[at : at + 256], found, strict=True):
+            for at in range(0, len(keys), 128):
+                found = encode([t or "" for t in texts.slice(at, 128).to_pylist()])
+                for key, ids in zip(keys[at : at + 128], found, strict=True):
                     doc, ids = counters["doc"], ids + end
                     held[doc] = (key, ids)
                     ready += packer.add(doc, len(ids) // 4)
@@ -229,4 +269,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False,
         if ready:
             yield rows(ready)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
