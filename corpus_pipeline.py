@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, exact copies, near copies, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs; all but the
-last return the columns of documents. Rows that share a doc_id are one document and share its fate; rows without doc_id pass the two
+last return the columns of documents. Rows that share a doc_id are one document, which stays if any of them does; rows without doc_id pass the two
 deduplications and are taken once by the mixing.
 """
 
@@ -26,17 +26,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return score_quality(docs, machine, *[c for c in docs.columns if c != "doc_id"]).filter("predicted = 1").select(*docs.columns)
 
 
+def _gone(found: DataFrame) -> DataFrame:
+    """Ids of which no row is kept."""
+    return found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     with Scratch(spark) as s:
-        gone = s.keep(dedup_exact(docs, s).filter("not kept").select("doc_id"))
+        gone = s.keep(_gone(dedup_exact(docs, s)))
     return remove_by_ids(docs, gone, "doc_id")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
     with Scratch(spark) as s:
-        gone = s.keep(near_dedup(docs, s, size=5, percent=80).filter("not kept").select("doc_id"))
+        gone = s.keep(_gone(near_dedup(docs, s, size=5, percent=80)))
     return remove_by_ids(docs, gone, "doc_id")
 
 
