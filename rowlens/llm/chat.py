@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chat_template import CHAT, Template, unescape
+from .common import tidy
 
 #: A row of output holds about so many code points at most beyond one turn; longer conversations go on in further rows.
 CHUNK = 1 << 20
@@ -62,7 +63,7 @@ def format_conversations(turns: DataFrame, template: str = CHAT, chunk: int = CH
             yield pa.RecordBatch.from_pylist(held, schema=out_schema)
 
     ordered = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(tidy(run), schema)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=out_schema or _digest_schema(key))
 
-    return formatted.mapInArrow(run, schema)
+    return formatted.mapInArrow(tidy(run), schema)
 
 
 def _digest_schema(key: str) -> pa.Schema:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .graph import components
 
 TABLES, FUNCTIONS, PROBES, NEAR = 12, 3, 8, 3
@@ -101,7 +101,7 @@ def _prepare(vectors: DataFrame) -> DataFrame:
             units = [None if u is None else u.tobytes() for u in _units(b.column("embedding"))]
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("vec_id"), pa.array(units, type=pa.binary())], names=["rid", "vec_id", "unit"])
 
-    return vectors.mapInArrow(run, f"rid long, vec_id {dict(vectors.dtypes)['vec_id']}, unit binary")
+    return vectors.mapInArrow(tidy(run), f"rid long, vec_id {dict(vectors.dtypes)['vec_id']}, unit binary")
 
 
 def _hashed(units: DataFrame, tables: range, functions: int, probes: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _hashed(units: DataFrame, tables: range, functions: int, probes: int) -> Dat
                         rows = pa.array(np.repeat(at, got.shape[1]))
                         yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in carry), pa.array(got.reshape(-1))], names=[*carry, "bucket"])
 
-    return units.select(*carry, "unit").mapInArrow(run, ", ".join(f"{c} long" for c in carry) + ", bucket long")
+    return units.select(*carry, "unit").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in carry) + ", bucket long")
 
 
 def _angles(pairs: DataFrame, carry: str) -> DataFrame:
@@ -135,7 +135,7 @@ def _angles(pairs: DataFrame, carry: str) -> DataFrame:
             cos = np.array([float(np.frombuffer(x) @ np.frombuffer(y)) for x, y in zip(a, c, strict=True)])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=[*names, "angle"])
 
-    return pairs.select(*names, "unit", "other").mapInArrow(run, f"{carry}, angle double")
+    return pairs.select(*names, "unit", "other").mapInArrow(tidy(run), f"{carry}, angle double")
 
 
 def _counted(rows: DataFrame, least: float) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_list, id_crc
+from .common import Scratch, byte_list, id_crc, tidy
 
 HEAD, TAIL = 63, 32
 END = HEAD  # class of the end of a text, and of what stands before its start
@@ -131,7 +131,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if seen:
             yield _pairs(seen)
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _pairs(seen: dict) -> pa.RecordBatch:
@@ -176,7 +176,7 @@ def count_triples(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["code", "n"])
 
-    return docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def score_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -260,7 +260,7 @@ def score_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 row += len(n)
 
     kind = dict(docs.dtypes)["doc_id"]
-    parts = docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_listed long, base double, score double, words array<binary>, times array<long>")
+    parts = docs.select("doc_id", "text").mapInArrow(tidy(run), f"row long, doc_id {kind}, n_tokens long, n_listed long, base double, score double, words array<binary>, times array<long>")
     parts = scratch.save(parts, "parts")
     tails = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("k"))
     rest = counts.filter(~listed).select("word", F.log10(F.col("n") + 0.5).alias("log_c"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_list, prune_by_ids
+from .common import Scratch, byte_list, prune_by_ids, tidy
 
 LENGTH = 200
 KGRAM = 64
@@ -151,7 +151,7 @@ def _tile_table(docs: DataFrame) -> DataFrame:
                 keys = pa.array([_key(t) for t in texts], type=pa.binary()).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([keys, *(_longs(x) for x in columns[:3]), *(pa.array(x.astype(np.int32)) for x in columns[3:])], names=["key", "anchor", "t1", "t2", "start", "n", "left"])
 
-    return docs.select("text").mapInArrow(run, "key binary, anchor long, t1 long, t2 long, start int, n int, left int")
+    return docs.select("text").mapInArrow(tidy(run), "key binary, anchor long, t1 long, t2 long, start int, n int, left int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
             texts = byte_list(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_key(t) for t in texts], type=pa.binary()), pa.array(texts, type=pa.binary())], names=["doc_id", "key", "body"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key binary, body binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, key binary, body binary")
 
 
 def _content(texts: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _content(texts: DataFrame) -> DataFrame:
                 kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return texts.select("key", "body", "wanted").mapInArrow(run, "key binary, anchor long, start int, n int, left int, open boolean, crowd boolean, bytes binary")
+    return texts.select("key", "body", "wanted").mapInArrow(tidy(run), "key binary, anchor long, start int, n int, left int, open boolean, crowd boolean, bytes binary")
 
 
 def _refined(rows: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _refined(rows: DataFrame) -> DataFrame:
             yield resolve(held)
 
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.select("key", "anchor", "start", "n", "left", "open", "bytes").mapInArrow(run, "key binary, start int, n int")
+    return ordered.select("key", "anchor", "start", "n", "left", "open", "bytes").mapInArrow(tidy(run), "key binary, start int, n int")
 
 
 def _strings(rows: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _strings(rows: DataFrame) -> DataFrame:
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array([r["key"]] * k, type=pa.binary()), pa.array((at + r["start"]).astype(np.int32)), pa.array([r["open"]] * k), _longs(h[0]), _longs(h[1])], names=["key", "start", "open", "h1", "h2"])
 
-    return rows.mapInArrow(run, "key binary, start int, open boolean, h1 long, h2 long")
+    return rows.mapInArrow(tidy(run), "key binary, start int, open boolean, h1 long, h2 long")
 
 
 def remove_runs(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -290,4 +290,4 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, with_text: bool = False)
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array([d[1] for d in done], type=pa.binary())] if with_text else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
     out = _keyed(docs).join(runs, "key", "left").select("doc_id", "body", "runs")
-    return out.mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return out.mapInArrow(tidy(finish), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
