@@ -184,11 +184,17 @@ def _block_pairs(pdf: pd.DataFrame, least: dict[int, int]) -> Iterator[tuple[int
     ids, comp, block = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     band = int(np.flatnonzero((own == bucket).all(axis=0))[0])
+    steps = [(np.ascontiguousarray(sig[:, n - STEP : n]), m) for n, m in least.items()]
     for x in left:
         y = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if i == j else ids[right] != ids[x])]
-        y = y[~(own[y, :band] == own[x, :band]).any(axis=1)]  # the first band that two classes share has their pair
+        matches = np.zeros(len(y), dtype=np.int64)
+        for part, m in steps:  # the sequential test, as in likely()
+            if not len(y):
+                break
+            matches += (part[y] == part[x]).sum(axis=1)
+            y, matches = y[matches >= m], matches[matches >= m]
         if len(y):
-            y = y[likely(np.broadcast_to(sig[x], (len(y), SIGNATURE)), sig[y], least)]
+            y = y[~(own[y, :band] == own[x, :band]).any(axis=1)]  # the first band that two classes share has their pair
         if len(y):
             yield int(x), y
 
