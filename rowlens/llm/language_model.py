@@ -1,23 +1,27 @@
-"""LM scoring: a log-bilinear neural model over word classes, trained with noise-contrastive estimation.
-
-Events. A token is a known word (seen in training), an unknown word, or the end of a text. The most frequent words are
-classes of their own; other words fall in tail classes by their last two bytes, and inside a class a word's share
-is its smoothed count, with a half count for all unknown words of the class. So
-log P(token | two tokens before) = log P(class | two classes before) + log P(word | class), and both sum to one.
-
-Training. The sufficient statistics of the class model, the counts of class triples over all training texts, are gathered
-by one aggregation; they are bounded by CLASSES ** 3 whatever the input. The model is fitted to them in numpy: every step takes
-the exact expectation of the contrastive loss over data and noise, as products of matrices over blocks of contexts. The same
-products, normalised, give the table of log probabilities by which all texts are scored.
+"""LM scoring: a log-bilinear neural model over words, trained with noise-contrastive estimation.
+
+Events. A token is a known word (seen in training), an unknown word, or the end of a text. The vocabulary, the most frequent
+words, grows with the root of the training tokens; each of its words has vectors of its own, as context and as target. The HEAD
+most frequent words are classes of their own; others fall in tail classes by their last two bytes. The vocabulary's
+words of a tail class are split in groups of GROUP, and all words beyond the vocabulary are one more group, in which a word's share
+is its smoothed count, with a half count for all unknown words of the class. So, given the two words before,
+log P(token) = log P(class) + log P(group | class) + log P(word | group), and each of them sums to one.
+
+Training. First a model of classes alone is fitted to the counts of class triples over all training texts (at most
+CLASSES ** 3): every step takes the exact expectation of the contrastive loss over data and noise. It is where the words'
+vectors start. Then each task goes once through its training texts, with the same loss at the three levels, and the
+tasks' changes are averaged, weighted by the squares of the gradients that led to them.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -28,10 +32,17 @@ from .common import Scratch, byte_list, id_crc, tidy
 HEAD, TAIL = 63, 32
 END = HEAD  # class of the end of a text, and of what stands before its start
 CLASSES = HEAD + 1 + TAIL
-#: Words of at most LOOKUP_BYTES bytes whose counts are sent to every task: never more than LOOKUP_WORDS.
+#: Words of at most LOOKUP_BYTES bytes whose counts are sent to every task: never more than LOOKUP_WORDS or the vocabulary.
 LOOKUP_WORDS, LOOKUP_BYTES = 1 << 17, 64
 WIDTH, NOISE, STEPS, RATE = 24, 10, 160, 0.03
 FLUSH = 200_000
+#: Words of the vocabulary for each root of the training tokens, words of a group, and the rate at which their vectors learn.
+VOCABULARY, GROUP, WORD_RATE = 8, 128, 0.1
+PIECE, BLOCK = 8192, 1 << 18
+
+
+def vocabulary_size(tokens: int) -> int:
+    return max(HEAD, math.ceil(VOCABULARY * math.sqrt(tokens)))
 
 
 class LogBilinear:
@@ -41,7 +52,7 @@ class LogBilinear:
         k = counts.shape[-1]
         rng = np.random.default_rng(seed)
         total = counts.sum()
-        unigram = (counts.sum(axis=(0, 1)) + 0.5) / (total + 0.5 * k)
+        self.unigram = unigram = (counts.sum(axis=(0, 1)) + 0.5) / (total + 0.5 * k)
         self.p = {"r": rng.normal(0, 0.3, (k, width)), "c1": np.eye(width) * 0.7, "c2": np.eye(width) * 0.3, "q": rng.normal(0, 0.05, (k, width)), "b": np.log(unigram)}
         self.p = {n: v.astype(np.float32) for n, v in self.p.items()}
         if total:
@@ -85,6 +96,143 @@ class LogBilinear:
         return out
 
 
+class WordModel:
+    """Log-bilinear model of words: vectors of context rows (vocabulary, then tail classes, then the end) and of the entries of softmaxes.
+
+    Softmax 0 is over classes; one for each tail class is over its groups, of which the first is all words beyond the vocabulary;
+    one for each group is over its words. counts holds the smoothed counts of the vocabulary, klass its classes, rest the smoothed
+    counts of what lies beyond it by tail class.
+    """
+
+    def __init__(self, start: LogBilinear, counts: np.ndarray, klass: np.ndarray, rest: np.ndarray):
+        v = len(counts)
+        rows = np.concatenate([klass, np.arange(HEAD + 1, CLASSES), [END]]).astype(np.int32)
+        self.softmax = np.full((3, len(rows)), -1, dtype=np.int32)
+        self.entry = np.zeros((3, len(rows)), dtype=np.int32)
+        self.softmax[0], self.entry[0] = 0, rows
+        bounds, weights, groups = [0, CLASSES], [], []
+        for t in range(TAIL):
+            mine = np.flatnonzero(klass == HEAD + 1 + t)
+            parts = [mine[lo : lo + GROUP] for lo in range(0, len(mine), GROUP)]
+            self.softmax[1, v + t], self.entry[1, v + t] = 1 + t, bounds[-1]
+            for i, part in enumerate(parts):
+                self.softmax[1, part], self.entry[1, part] = 1 + t, bounds[-1] + 1 + i
+            weights.append(np.array([rest[t], *(counts[part].sum() for part in parts)]))
+            bounds.append(bounds[-1] + 1 + len(parts))
+            groups += parts
+        for g, part in enumerate(groups):
+            self.softmax[2, part], self.entry[2, part] = 1 + TAIL + g, bounds[-1] + np.arange(len(part))
+            weights.append(counts[part])
+            bounds.append(bounds[-1] + len(part))
+        self.bounds = np.array(bounds)
+        shares = np.concatenate([start.unigram, *(w / w.sum() for w in weights)])
+        width, self.rows, self.entries = start.p["q"].shape[1], len(rows), len(shares)
+        self.noise = (NOISE * shares).astype(np.float32)
+        self.log_noise = np.log(self.noise)
+        self.flat = np.zeros((2 * self.rows + self.entries) * width + self.entries, dtype=np.float32)
+        near, far, q, b = self.parts(self.flat)
+        near[:], far[:] = (start.p["r"] @ start.p["c1"])[rows], (start.p["r"] @ start.p["c2"])[rows]
+        q[:CLASSES], b[:CLASSES], b[CLASSES:] = start.p["q"], start.p["b"], np.log(shares[CLASSES:])
+
+    def parts(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors of nearer and of farther context words, vectors and biases of entries: views of flat."""
+        width = (len(flat) - self.entries) // (2 * self.rows + self.entries)
+        at = np.cumsum([self.rows * width, self.rows * width, self.entries * width])
+        near, far, q, b = np.split(flat, at)
+        return near.reshape(-1, width), far.reshape(-1, width), q.reshape(-1, width), b
+
+    def _pieces(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+        """Places of words that share a softmax, its bounds, and their entries in it."""
+        for softmax, entry in zip(self.softmax, self.entry, strict=True):
+            mine = softmax[words]
+            order = np.argsort(mine, kind="stable")
+            cuts = np.concatenate([np.flatnonzero(np.diff(mine[order], prepend=-2)), [len(mine)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                s = mine[order[lo]]
+                if s >= 0:
+                    first, last = int(self.bounds[s]), int(self.bounds[s + 1])
+                    for x in range(lo, hi, PIECE):
+                        at = order[x : min(hi, x + PIECE)]
+                        yield at, first, last, entry[words[at]] - first
+
+    def log_p(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of the words at the given places of a sequence of context rows."""
+        near, far, q, b = self.parts(self.flat)
+        h, out = near[rows[at - 1]] + far[rows[at - 2]], np.zeros(len(at))
+        for i, first, last, mine in self._pieces(rows[at]):
+            z = h[i] @ q[first:last].T + b[first:last]
+            z -= z.max(axis=1, keepdims=True)
+            out[i] += z[np.arange(len(i)), mine] - np.log(np.exp(z).sum(axis=1))
+        return out / np.log(10)
+
+    def learn(self, flat: np.ndarray, squares: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+        """One Adagrad step on the expected contrastive loss of those words; changes flat and squares."""
+        (near, far, q, b), (near2, far2, q2, b2) = self.parts(flat), self.parts(squares)
+
+        def move(value: np.ndarray, square: np.ndarray, where, grad: np.ndarray) -> None:
+            total = square[where] + grad * grad
+            square[where] = total
+            value[where] += WORD_RATE * grad / np.sqrt(1 + total)
+
+        h = near[rows[at - 1]] + far[rows[at - 2]]
+        gh = np.zeros_like(h)
+        for i, first, last, mine in self._pieces(rows[at]):
+            x, where = h[i], slice(first, last)
+            s = 1 / (1 + np.exp(-np.clip(x @ q[where].T + b[where] - self.log_noise[where], -30, 30)))
+            g = -self.noise[where] * s
+            each = np.arange(len(i))
+            g[each, mine] += 1 - s[each, mine]
+            gh[i] += g @ q[where]
+            move(q, q2, where, g.T @ x)
+            move(b, b2, where, g.sum(axis=0))
+        for value, square, mine in ((near, near2, rows[at - 1]), (far, far2, rows[at - 2])):
+            order = np.argsort(mine, kind="stable")
+            starts = np.flatnonzero(np.diff(mine[order], prepend=-1))
+            move(value, square, mine[order[starts]], np.add.reduceat(gh[order], starts, axis=0))
+
+
+def train_words(docs: DataFrame, model: WordModel, names: list[bytes], row_of: np.ndarray, scratch: Scratch) -> None:
+    """One pass of each task over its texts; model gets the average of their changes."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((names, row_of, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, row_of, model = shared.value
+        place, flat, squares = _places(shared, names), model.flat.copy(), np.zeros_like(model.flat)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                ids, is_token, _ = _sequence([t.lower().split() for t in byte_list(whole.column("text").slice(lo, 256))], _cleared(place))
+                model.learn(flat, squares, _context_rows(ids, place, row_of), np.flatnonzero(is_token))
+        change = (flat - model.flat) * squares
+        for i, lo in enumerate(range(0, len(flat), BLOCK)):
+            if squares[lo : lo + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([change[lo : lo + BLOCK].tobytes()], type=pa.binary()), pa.array([squares[lo : lo + BLOCK].tobytes()], type=pa.binary())], names=["block", "change", "squares"])
+
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        change, squares = (sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in pdf[c]) for c in ("change", "squares"))
+        mean = np.divide(change, squares, out=np.zeros_like(change), where=squares > 0).astype(np.float32)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "change": [mean.tobytes()]})
+
+    # As many tasks as run at once: each sends a model.
+    parts = scratch.save(docs.select("text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(tidy(run), "block long, change binary, squares binary"), "trained")
+    for r in parts.groupBy("block").applyInPandas(average, "block long, change binary").toLocalIterator():
+        change = np.frombuffer(r["change"], dtype=np.float32)
+        model.flat[r["block"] * BLOCK : r["block"] * BLOCK + len(change)] += change
+
+
+def _cleared(place: Places) -> Places:
+    place.noted = []
+    return place
+
+
+def _context_rows(ids: np.ndarray, place: Places, row_of: np.ndarray) -> np.ndarray:
+    """Context rows of a sequence of places in the lookup; of words outside it by their tail class."""
+    rows = row_of[ids]
+    if place.noted:
+        rows[ids == 0] = np.fromiter(map(tail_class, place.noted), dtype=np.int32, count=len(place.noted)) + (row_of[-1] - CLASSES)
+    return rows
+
+
 def tail_class(word: bytes) -> int:
     return HEAD + 1 + zlib.crc32(word[-2:]) % TAIL
 
@@ -197,7 +345,7 @@ def score_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # The most frequent words, by a threshold on the count: as many as fit the bound.
     short = counts.filter(F.octet_length("word") <= LOOKUP_BYTES)
     step = F.floor(F.log2("n") * 8)
-    least, room = None, LOOKUP_WORDS
+    least, room = None, max(LOOKUP_WORDS, vocabulary_size(tokens))
     for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():  # at most 8 * 63 rows
         if r["k"] > room:
             break
@@ -209,39 +357,44 @@ def score_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     triples = np.zeros(CLASSES**3, dtype=np.float64)
     for r in count_triples(train, head).toArrow().to_batches():
         triples[r.column("code").to_numpy()] = r.column("n").to_numpy()
-    log_p = LogBilinear(triples.reshape(CLASSES, CLASSES, CLASSES)).table().reshape(-1)
+    start = LogBilinear(triples.reshape(CLASSES, CLASSES, CLASSES))
 
     is_head = F.col("word").isin([bytearray(w) for w in head]) if head else F.lit(False)
     mass = np.full(CLASSES, 0.5)
     for r in counts.filter(~is_head).groupBy(_tail_column(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():  # TAIL rows
         mass[r["c"]] += r["n"] + 0.5 * r["k"]
-    # Of each listed word (from place 1; place 0 is any other word, place -1 the end): class, log10(c + 0.5), log10 share in its class.
-    klass = np.array([0] + [head[w] if w in head else tail_class(w) for w, _ in words] + [END], dtype=np.int32)
-    log_c = np.log10(np.array([1.0] + [n + 0.5 for _, n in words] + [ends + 0.5]))
-    share = np.where(klass > END, log_c - np.log10(mass[klass]), 0.0)
-    share[0] = 0.0
-    shared = spark.sparkContext.broadcast(([w for w, _ in words], klass, log_c, share, np.log10(mass), log_p))
+    # Of each listed word (from place 1; place 0 is any other word, place -1 the end): context row, log10(c + 0.5), log10 share among the words beyond the vocabulary.
+    v = min(len(words), vocabulary_size(tokens))
+    klass = np.array([head[w] if w in head else tail_class(w) for w, _ in words], dtype=np.int32)
+    smooth = np.array([n + 0.5 for _, n in words])
+    beyond = np.maximum(mass - np.bincount(klass[len(head) : v], smooth[len(head) : v], CLASSES), 0.5)
+    row_of = np.concatenate([[0], np.arange(v), klass[v:] + (v + TAIL - CLASSES), [v + TAIL]]).astype(np.int32)
+    log_c = np.log10(np.concatenate([[1.0], smooth, [ends + 0.5]]))
+    share = np.zeros(len(log_c))
+    share[v + 1 : -1] = log_c[v + 1 : -1] - np.log10(beyond[klass[v:]])
+    model = WordModel(start, smooth[:v], klass[:v], beyond[HEAD + 1 :])
+    names = [w for w, _ in words]
+    if ends:
+        train_words(train, model, names, row_of, scratch)
+    shared = spark.sparkContext.broadcast((names, row_of, log_c, share, np.log10(beyond), model))
     known_end = ends > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, klass, log_c, share, log_mass, log_p = shared.value
+        names, row_of, log_c, share, log_beyond, model = shared.value
         place = _places(shared, names)
         row = TaskContext.get().partitionId() << 36
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                place.noted = []
-                ids, is_token, n = _sequence([t.lower().split() for t in byte_list(b.column("text"))], place)
+                ids, is_token, n = _sequence([t.lower().split() for t in byte_list(b.column("text"))], _cleared(place))
                 other = np.flatnonzero(ids == 0)
-                classes = klass[ids]
+                rows = _context_rows(ids, place, row_of)
                 score = share[ids]
                 base = log_c[ids]
                 if len(other):
-                    tails = np.fromiter(map(tail_class, place.noted), dtype=np.int32, count=len(other))
-                    classes[other] = tails
-                    score[other] = -log_mass[tails]
+                    score[other] = -log_beyond[rows[other] + (CLASSES - row_of[-1])]
                     base[other] = 0.0
-                score = (score + log_p[_codes(classes)])[is_token]
+                score = score[is_token] + model.log_p(rows, np.flatnonzero(is_token))
                 base, found = base[is_token], (ids != 0)[is_token]
                 if not known_end:
                     found &= (ids != -1)[is_token]

@@ -69,3 +69,34 @@ def test_share_inside_classes_sums_to_one():
 def test_nothing_to_learn(spark, scratch, rows):
     got = [tuple(r) for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()]
     assert [g[:5] for g in got] == [w[:5] for w in base_model(rows)] and np.allclose([g[5] for g in got], [w[5] for w in base_model(rows)])
+
+
+def test_words_of_one_tail_class_are_told_apart(spark, scratch):
+    rng = random.Random(8)
+    frequent = [f"f{i}" for i in range(lm.HEAD)]
+    pairs = [("oneqa", "firstzz"), ("twoqa", "otherzz")]  # the words of a column end in the same two bytes
+
+    def text(swap):
+        out = []
+        for _ in range(12):
+            i = rng.randrange(2)
+            out += [*rng.choices(frequent, k=8), pairs[i][0], pairs[1 - i if swap else i][1]]
+        return " ".join(out)
+
+    rows = [(i, text(False)) for i in range(1500)]
+    rows += [(10_000 + i, text(True)) for i in range(400) if zlib.crc32(str(10_000 + i).encode()) % 5 == 1]
+    got = [r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), scratch).collect() if r["held_out"]]
+    swapped, right = (np.mean([r["score"] for r in got if (r["doc_id"] >= 10_000) == x]) for x in (True, False))
+    assert right > swapped + 1
+
+
+def test_vocabulary_grows_and_the_word_model_sums_to_one():
+    sizes = [lm.vocabulary_size(n) for n in (0, 10**6, 10**8, 10**10)]
+    assert sizes == sorted(set(sizes))
+    rng = np.random.default_rng(2)
+    words = [f"w{i}".encode() for i in range(900)]
+    klass = np.array([i if i < lm.HEAD else lm.tail_class(w) for i, w in enumerate(words)], dtype=np.int32)
+    model = lm.WordModel(lm.LogBilinear(rng.integers(0, 3, (lm.CLASSES,) * 3).astype(float), steps=2), np.linspace(90, 1, 900), klass, np.ones(lm.TAIL))
+    model.flat += rng.normal(0, 0.3, len(model.flat)).astype(np.float32)
+    every = np.concatenate([[7, 500, w] for w in range(model.rows)])
+    assert math.isclose((10 ** model.log_p(every, np.arange(2, len(every), 3))).sum(), 1, rel_tol=1e-4)
