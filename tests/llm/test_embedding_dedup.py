@@ -77,3 +77,23 @@ def test_hadamard():
 
 def test_empty(spark, scratch):
     assert ed.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>"), scratch).count() == 0
+
+
+def test_tables_keep_the_recall_of_more_functions_and_wide_vectors():
+    for n, d in ((65_536, 64), (8_400_000, 64), (1000, 256), (100_000, 300)):
+        functions, tables = ed.parameters(n, d)
+        rng = np.random.default_rng(17)
+        a, z = rng.normal(size=(2, 300, d))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        z -= (z * a).sum(axis=1, keepdims=True) * a
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        b = 0.9 * a + np.sqrt(1 - 0.81) * z
+        met = [(ed.table_buckets(a, 100 + t, functions)[:, :, None] == ed.table_buckets(b, 100 + t, functions)[:, None, :]).any(axis=(1, 2)).mean() for t in range(6)]
+        p = np.mean(met)
+        assert (1 - p) ** tables + tables * p * (1 - p) ** (tables - 1) < 3e-5, (n, d, functions, tables, p)
+
+
+def test_more_tables_than_a_mask_holds(spark, scratch, monkeypatch):
+    monkeypatch.setattr(ed, "parameters", lambda *_: (ed.FUNCTIONS, 70))
+    rows = data()
+    assert sorted((tuple(r) for r in ed.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scratch).collect()), key=str) == model(rows)
