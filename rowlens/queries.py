@@ -355,9 +355,10 @@ def mode_selection(spark, sf_dir):
 
 @query("SELECT 'o_totalprice' AS left_name, 'price' AS right_name, CAST(count(*) FILTER (o_orderkey % 200 <> 0) AS DOUBLE) / count(*) AS similarity FROM orders WHERE o_orderkey % 3 <> 0")
 def rename_detected(spark, sf_dir):
+    """Scored on all rows: the prefixes are the whole tables."""
     left = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").filter("o_orderkey % 3 != 0")
     right = left.select("o_orderkey", F.expr("case when o_orderkey % 200 = 0 then o_totalprice + 1 else o_totalprice end").alias("price"), F.lit("?").alias("state"))
-    found = plan(left, right, Options(key=("o_orderkey",))).schema.renamed
+    found = plan(left, right, Options(key=("o_orderkey",)), prefixes=(lambda _: left, lambda _: right)).schema.renamed
     return spark.createDataFrame([(r.left, r.right, r.similarity) for r in found], "left_name string, right_name string, similarity double")
 
 

@@ -27,3 +27,11 @@ def test_entry_imports_without_the_optional_parts():
     import __spark_entry__ as entry
 
     assert set(ORACLE_SQL) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries())
+
+
+def test_renames_are_scored_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr("rowlens.api.RENAME_SAMPLE", 100)
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{DATA}/orders.parquet'")
+    got, want = QUERIES["rename_detected"](spark, DATA).collect(), con.sql(ORACLE_SQL["rename_detected"]).fetchall()
+    assert [tuple(r) for r in got] == want
