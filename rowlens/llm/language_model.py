@@ -38,7 +38,7 @@ WIDTH, NOISE, STEPS, RATE = 24, 10, 160, 0.03
 FLUSH = 200_000
 #: Words of the vocabulary for each root of the training tokens, words of a group, and the rate at which their vectors learn.
 VOCABULARY, GROUP, WORD_RATE = 8, 128, 0.1
-PIECE, BLOCK = 8192, 1 << 18
+PIECE, BLOCK = 512, 1 << 18
 
 
 def vocabulary_size(tokens: int) -> int:
