@@ -1,16 +1,20 @@
 """LM scoring: a log-bilinear neural model over words, trained with noise-contrastive estimation.
 
-Events. A token is a known word (seen in training), an unknown word, or the end of a text. The vocabulary, the most frequent
-words, grows with the root of the training tokens; each of its words has vectors of its own, as context and as target. The HEAD
-most frequent words are classes of their own; others fall in tail classes by their last two bytes. The vocabulary's
-words of a tail class are split in groups of GROUP, and all words beyond the vocabulary are one more group, in which a word's share
-is its smoothed count, with a half count for all unknown words of the class. So, given the two words before,
-log P(token) = log P(class) + log P(group | class) + log P(word | group), and each of them sums to one.
-
-Training. First a model of classes alone is fitted to the counts of class triples over all training texts (at most
-CLASSES ** 3): every step takes the exact expectation of the contrastive loss over data and noise. It is where the words'
-vectors start. Then each task goes once through its training texts, with the same loss at the three levels, and the
-tasks' changes are averaged, weighted by the squares of the gradients that led to them.
+Events. A token is a word or the end of a text. The softmax has an entry for each word of the vocabulary (the most frequent words), TAIL
+entries for all other words by their last two bytes, and one for the end. Inside a tail entry a word has its share of the smoothed
+counts, with a half count for all unknown words of that entry. So log P(token) = log P(entry) + log share, and the
+probabilities of all known words, the unknown ones and the end sum to one.
+
+Model. After words a, b (b the nearer) an entry w has the logit (near_b + far_a) q_w + bias_w. The most frequent words have context vectors of
+their own, others those of their tail entry. As exp of a sum of contexts is a product, the normalisers of all pairs of contexts
+are one matrix product, exp(near q) diag(exp bias) exp(far q)^T, and a token then costs one inner product.
+
+Training. Biases start at the logarithms of the shares, and the entries' vectors at zero. Each task goes once through its training texts, all of them, in
+batches: each batch draws NOISE entries from the unigram distribution, and every token of it is told apart from them by
+the contrastive loss. The tasks' changes are averaged, weighted by the squares of the gradients that led to them.
+
+Growth. The vocabulary grows as the cube root of the training tokens and the contexts as the eighth root, so that the model a task
+receives stays a small part of any input: about 30,000 words and 1,200 contexts at 10^8 tokens, 1.7 million and 5,500 at 2 * 10^13.
 """
 
 from __future__ import annotations
@@ -29,195 +33,136 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, byte_list, id_crc, tidy
 
-HEAD, TAIL = 63, 32
-END = HEAD  # class of the end of a text, and of what stands before its start
-CLASSES = HEAD + 1 + TAIL
-#: Words of at most LOOKUP_BYTES bytes whose counts are sent to every task: never more than LOOKUP_WORDS or the vocabulary.
+TAIL = 32
+#: Words of at most LOOKUP_BYTES bytes may be in the vocabulary. The counts of at least LOOKUP_WORDS of them are sent to every task, which
+#: spares joins and changes no result.
 LOOKUP_WORDS, LOOKUP_BYTES = 1 << 17, 64
-WIDTH, NOISE, STEPS, RATE = 24, 10, 160, 0.03
-FLUSH = 200_000
-#: Words of the vocabulary for each root of the training tokens, words of a group, and the rate at which their vectors learn.
-VOCABULARY, GROUP, WORD_RATE = 8, 128, 0.1
-PIECE, BLOCK = 512, 1 << 18
+VOCABULARY, CONTEXTS = 64, 120  # words for each cube root, contexts for each eighth root of the training tokens
+WIDTH, NOISE, BATCH, RATE = 24, 32, 512, 0.1
+CALM = 10.0  # a task's change counts as if this much had been added to its squares: rare entries' changes are summed, others' averaged
+#: Training tokens of a task: at least, where there are fewer tasks than could run, and at most.
+LEAST_TOKENS, MOST_TOKENS = 1 << 22, 1 << 30
+FLUSH, FLUSH_BYTES = 200_000, 64 << 20  # words of a task's counter, and bytes of text that went into it
+BLOCK, FAN = 1 << 16, 32  # parameters sent in one row, and rows summed by one task
+ROWS, ENTRIES = 256, 4096  # contexts and entries of one matrix product
 
 
 def vocabulary_size(tokens: int) -> int:
-    return max(HEAD, math.ceil(VOCABULARY * math.sqrt(tokens)))
+    return math.ceil(VOCABULARY * tokens ** (1 / 3))
+
+
+def context_size(tokens: int) -> int:
+    return math.ceil(CONTEXTS * tokens ** (1 / 8))
 
 
 class LogBilinear:
-    """P(w | a, b) of class w after classes b, a (a the nearer): softmax of (r_a C1 + r_b C2) q_w + bias_w."""
+    """counts: smoothed count of each entry; row_of: context row of each entry. The last column of the vectors is the bias."""
 
-    def __init__(self, counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int = STEPS, seed: int = 3):
-        k = counts.shape[-1]
+    def __init__(self, counts: np.ndarray, row_of: np.ndarray, width: int = WIDTH, noise: int = NOISE, seed: int = 3):
         rng = np.random.default_rng(seed)
-        total = counts.sum()
-        self.unigram = unigram = (counts.sum(axis=(0, 1)) + 0.5) / (total + 0.5 * k)
-        self.p = {"r": rng.normal(0, 0.3, (k, width)), "c1": np.eye(width) * 0.7, "c2": np.eye(width) * 0.3, "q": rng.normal(0, 0.05, (k, width)), "b": np.log(unigram)}
-        self.p = {n: v.astype(np.float32) for n, v in self.p.items()}
-        if total:
-            self._train(counts.astype(np.float32) / np.float32(total), np.log(noise * unigram).astype(np.float32), (noise * unigram).astype(np.float32), steps)
-
-    def _train(self, data: np.ndarray, log_noise: np.ndarray, noise: np.ndarray, steps: int) -> None:
-        """Adam on the expected loss: sum over contexts of data log s(d) + context noise log(1 - s(d)), d = logit - log noise."""
-        context = data.sum(axis=2)
-        one = {n: np.zeros_like(v) for n, v in self.p.items()}
-        two = {n: np.zeros_like(v) for n, v in self.p.items()}
-        for step in range(1, steps + 1):
-            grad = {n: np.zeros_like(v) for n, v in self.p.items()}
-            r, c1, c2, q, b = (self.p[n] for n in ("r", "c1", "c2", "q", "b"))
-            near, far = r @ c1, r @ c2
-            g_near, g_far = np.zeros_like(near), np.zeros_like(far)
-            for old in range(len(r)):  # data[old, new, w]: a block of contexts that share their farther class
-                h = near + far[old]
-                s = 1 / (1 + np.exp(-np.clip(h @ q.T + b - log_noise, -30, 30)))
-                g = data[old] * (1 - s) - context[old][:, None] * noise * s
-                gh = g @ q
-                g_near += gh
-                g_far[old] += gh.sum(axis=0)
-                grad["q"] += g.T @ h
-                grad["b"] += g.sum(axis=0)
-            grad["c1"], grad["c2"] = r.T @ g_near, r.T @ g_far
-            grad["r"] = g_near @ c1.T + g_far @ c2.T
-            rate = RATE * (1 - 0.9 * step / steps)
-            for n, v in self.p.items():
-                one[n] = 0.9 * one[n] + 0.1 * grad[n]
-                two[n] = 0.99 * two[n] + 0.01 * grad[n] ** 2
-                v += rate * (one[n] / (1 - 0.9**step)) / (np.sqrt(two[n] / (1 - 0.99**step)) + 1e-9)
-
-    def table(self) -> np.ndarray:
-        """Normalised log10 probabilities [far, near, class]."""
-        near, far = self.p["r"] @ self.p["c1"], self.p["r"] @ self.p["c2"]
-        out = np.empty((len(near), len(near), len(near)), dtype=np.float32)
-        for old in range(len(near)):
-            z = ((near + far[old]) @ self.p["q"].T + self.p["b"]).astype(np.float64)
-            z -= z.max(axis=1, keepdims=True)
-            out[old] = (z - np.log(np.exp(z).sum(axis=1, keepdims=True))) / np.log(10)
-        return out
-
-
-class WordModel:
-    """Log-bilinear model of words: vectors of context rows (vocabulary, then tail classes, then the end) and of the entries of softmaxes.
-
-    Softmax 0 is over classes; one for each tail class is over its groups, of which the first is all words beyond the vocabulary;
-    one for each group is over its words. counts holds the smoothed counts of the vocabulary, klass its classes, rest the smoothed
-    counts of what lies beyond it by tail class.
-    """
-
-    def __init__(self, start: LogBilinear, counts: np.ndarray, klass: np.ndarray, rest: np.ndarray):
-        v = len(counts)
-        rows = np.concatenate([klass, np.arange(HEAD + 1, CLASSES), [END]]).astype(np.int32)
-        self.softmax = np.full((3, len(rows)), -1, dtype=np.int32)
-        self.entry = np.zeros((3, len(rows)), dtype=np.int32)
-        self.softmax[0], self.entry[0] = 0, rows
-        bounds, weights, groups = [0, CLASSES], [], []
-        for t in range(TAIL):
-            mine = np.flatnonzero(klass == HEAD + 1 + t)
-            parts = [mine[lo : lo + GROUP] for lo in range(0, len(mine), GROUP)]
-            self.softmax[1, v + t], self.entry[1, v + t] = 1 + t, bounds[-1]
-            for i, part in enumerate(parts):
-                self.softmax[1, part], self.entry[1, part] = 1 + t, bounds[-1] + 1 + i
-            weights.append(np.array([rest[t], *(counts[part].sum() for part in parts)]))
-            bounds.append(bounds[-1] + 1 + len(parts))
-            groups += parts
-        for g, part in enumerate(groups):
-            self.softmax[2, part], self.entry[2, part] = 1 + TAIL + g, bounds[-1] + np.arange(len(part))
-            weights.append(counts[part])
-            bounds.append(bounds[-1] + len(part))
-        self.bounds = np.array(bounds)
-        shares = np.concatenate([start.unigram, *(w / w.sum() for w in weights)])
-        width, self.rows, self.entries = start.p["q"].shape[1], len(rows), len(shares)
-        self.noise = (NOISE * shares).astype(np.float32)
-        self.log_noise = np.log(self.noise)
-        self.flat = np.zeros((2 * self.rows + self.entries) * width + self.entries, dtype=np.float32)
-        near, far, q, b = self.parts(self.flat)
-        near[:], far[:] = (start.p["r"] @ start.p["c1"])[rows], (start.p["r"] @ start.p["c2"])[rows]
-        q[:CLASSES], b[:CLASSES], b[CLASSES:] = start.p["q"], start.p["b"], np.log(shares[CLASSES:])
-
-    def parts(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors of nearer and of farther context words, vectors and biases of entries: views of flat."""
-        width = (len(flat) - self.entries) // (2 * self.rows + self.entries)
-        at = np.cumsum([self.rows * width, self.rows * width, self.entries * width])
-        near, far, q, b = np.split(flat, at)
-        return near.reshape(-1, width), far.reshape(-1, width), q.reshape(-1, width), b
-
-    def _pieces(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
-        """Places of words that share a softmax, its bounds, and their entries in it."""
-        for softmax, entry in zip(self.softmax, self.entry, strict=True):
-            mine = softmax[words]
-            order = np.argsort(mine, kind="stable")
-            cuts = np.concatenate([np.flatnonzero(np.diff(mine[order], prepend=-2)), [len(mine)]])
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                s = mine[order[lo]]
-                if s >= 0:
-                    first, last = int(self.bounds[s]), int(self.bounds[s + 1])
-                    for x in range(lo, hi, PIECE):
-                        at = order[x : min(hi, x + PIECE)]
-                        yield at, first, last, entry[words[at]] - first
-
-    def log_p(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of the words at the given places of a sequence of context rows."""
-        near, far, q, b = self.parts(self.flat)
-        h, out = near[rows[at - 1]] + far[rows[at - 2]], np.zeros(len(at))
-        for i, first, last, mine in self._pieces(rows[at]):
-            z = h[i] @ q[first:last].T + b[first:last]
-            z -= z.max(axis=1, keepdims=True)
-            out[i] += z[np.arange(len(i)), mine] - np.log(np.exp(z).sum(axis=1))
-        return out / np.log(10)
-
-    def learn(self, flat: np.ndarray, squares: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
-        """One Adagrad step on the expected contrastive loss of those words; changes flat and squares."""
-        (near, far, q, b), (near2, far2, q2, b2) = self.parts(flat), self.parts(squares)
-
-        def move(value: np.ndarray, square: np.ndarray, where, grad: np.ndarray) -> None:
-            total = square[where] + grad * grad
-            square[where] = total
-            value[where] += WORD_RATE * grad / np.sqrt(1 + total)
-
-        h = near[rows[at - 1]] + far[rows[at - 2]]
-        gh = np.zeros_like(h)
-        for i, first, last, mine in self._pieces(rows[at]):
-            x, where = h[i], slice(first, last)
-            s = 1 / (1 + np.exp(-np.clip(x @ q[where].T + b[where] - self.log_noise[where], -30, 30)))
-            g = -self.noise[where] * s
-            each = np.arange(len(i))
-            g[each, mine] += 1 - s[each, mine]
-            gh[i] += g @ q[where]
-            move(q, q2, where, g.T @ x)
-            move(b, b2, where, g.sum(axis=0))
-        for value, square, mine in ((near, near2, rows[at - 1]), (far, far2, rows[at - 2])):
-            order = np.argsort(mine, kind="stable")
-            starts = np.flatnonzero(np.diff(mine[order], prepend=-1))
-            move(value, square, mine[order[starts]], np.add.reduceat(gh[order], starts, axis=0))
-
-
-def train_words(docs: DataFrame, model: WordModel, names: list[bytes], row_of: np.ndarray, scratch: Scratch) -> None:
+        self.row_of, self.rows, self.entries, self.width, self.noise = row_of.astype(np.int32), int(row_of.max()) + 1, len(counts), width, noise
+        shares = counts / counts.sum()
+        self.sums = np.cumsum(shares)
+        self.log_noise = np.log(noise * shares).astype(np.float32)
+        self.flat = np.zeros((2 * self.rows + self.entries) * (width + 1), dtype=np.float32)
+        near, far, q = self.parts(self.flat)
+        near[:, :width], far[:, :width] = rng.normal(0, 0.3, (self.rows, width)), rng.normal(0, 0.15, (self.rows, width))
+        near[:, width], q[:, width] = 1, np.log(shares)
+        self.log_z: np.ndarray | None = None
+
+    def parts(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors of nearer and of farther contexts and of entries: views of flat."""
+        k = self.width + 1
+        near, far, q = np.split(flat, [self.rows * k, 2 * self.rows * k])
+        return near.reshape(-1, k), far.reshape(-1, k), q.reshape(-1, k)
+
+    def learn(self, flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> None:
+        """Adagrad steps on the contrastive loss of the tokens at the given places of a sequence of entries; changes flat and squares."""
+        (near, far, q), (near2, far2, q2) = self.parts(flat), self.parts(squares)
+        for lo in range(0, len(at), BATCH):
+            i = at[lo : lo + BATCH]
+            word, a, b = ids[i], self.row_of[ids[i - 1]], self.row_of[ids[i - 2]]
+            drawn = np.searchsorted(self.sums, rng.random(self.noise) * self.sums[-1])
+            h, q_word, q_drawn = near[a] + far[b], q[word], q[drawn]
+            g_word = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, q_word) - self.log_noise[word], -30, 30)))
+            g_drawn = -1 / (1 + np.exp(np.clip(self.log_noise[drawn] - h @ q_drawn.T, -30, 30)))
+            gh = g_word[:, None] * q_word + g_drawn @ q_drawn
+            gh[:, -1] = 0  # the place of the bias
+            _move(q, q2, word, g_word[:, None] * h)
+            _move(q, q2, drawn, g_drawn.T @ h)
+            _move(near, near2, a, gh)
+            _move(far, far2, b, gh)
+
+    def normalisers(self, lo: int, hi: int) -> np.ndarray:
+        """Logarithms of the sums over all entries after each nearer context from lo to hi (rows) and each farther one (columns)."""
+        near, far, q = (x.astype(np.float64) for x in self.parts(self.flat))
+        out = np.zeros((hi - lo, self.rows))
+        for e in range(0, self.entries, ENTRIES):
+            some = q[e : e + ENTRIES, :-1].T
+            out += np.exp(near[lo:hi, :-1] @ some + q[e : e + ENTRIES, -1]) @ np.exp(far[:, :-1] @ some).T
+        return np.log(out)
+
+    def log_p(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of the entries at the given places of a sequence."""
+        near, far, q = self.parts(self.flat)
+        a, b = self.row_of[ids[at - 1]], self.row_of[ids[at - 2]]
+        return (np.einsum("ij,ij->i", near[a] + far[b], q[ids[at]]).astype(np.float64) - self.log_z[a, b]) / np.log(10)
+
+
+def _move(value: np.ndarray, squares: np.ndarray, where: np.ndarray, grad: np.ndarray) -> None:
+    order = np.argsort(where, kind="stable")
+    starts = np.flatnonzero(np.diff(where[order], prepend=-1))
+    rows, grad = where[order[starts]], np.add.reduceat(grad[order], starts, axis=0)
+    total = squares[rows] + grad * grad
+    squares[rows] = total
+    value[rows] += RATE * grad / np.sqrt(1 + total)
+
+
+def train(docs: DataFrame, tokens: int, model: LogBilinear, names: list[bytes], entry_of: np.ndarray, scratch: Scratch) -> None:
     """One pass of each task over its texts; model gets the average of their changes."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((names, row_of, model))
+    shared = spark.sparkContext.broadcast((names, entry_of, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, row_of, model = shared.value
-        place, flat, squares = _places(shared, names), model.flat.copy(), np.zeros_like(model.flat)
+        names, entry_of, model = shared.value
+        place, flat, squares, part = _places(shared, names), model.flat.copy(), np.zeros_like(model.flat), TaskContext.get().partitionId()
+        rng = np.random.default_rng(part)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 ids, is_token, _ = _sequence([t.lower().split() for t in byte_list(whole.column("text").slice(lo, 256))], _cleared(place))
-                model.learn(flat, squares, _context_rows(ids, place, row_of), np.flatnonzero(is_token))
-        change = (flat - model.flat) * squares
+                model.learn(flat, squares, _entries(ids, place, entry_of, model), np.flatnonzero(is_token), rng)
+        change = (flat - model.flat) * (np.float32(CALM) + squares)
         for i, lo in enumerate(range(0, len(flat), BLOCK)):
             if squares[lo : lo + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([change[lo : lo + BLOCK].tobytes()], type=pa.binary()), pa.array([squares[lo : lo + BLOCK].tobytes()], type=pa.binary())], names=["block", "change", "squares"])
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part]), pa.array([change[lo : lo + BLOCK].tobytes()], type=pa.binary()), pa.array([squares[lo : lo + BLOCK].tobytes()], type=pa.binary())], names=["block", "part", "change", "squares"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = [np.sum([np.frombuffer(x, dtype=np.float32) for x in pdf[c]], axis=0, dtype=np.float64).astype(np.float32).tobytes() for c in ("change", "squares")]
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1] // FAN, "change": sums[:1], "squares": sums[1:]})
 
-    def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        change, squares = (sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in pdf[c]) for c in ("change", "squares"))
-        mean = np.divide(change, squares, out=np.zeros_like(change), where=squares > 0).astype(np.float32)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "change": [mean.tobytes()]})
+    schema = "block long, part long, change binary, squares binary"
+    tasks = max(math.ceil(tokens / MOST_TOKENS), min(spark.sparkContext.defaultParallelism, max(1, tokens // LEAST_TOKENS)))
+    sums = scratch.save(docs.select("text").coalesce(tasks).mapInArrow(tidy(run), schema), "trained")
+    while tasks > 1:  # FAN rows of a block at a time
+        sums = scratch.save(sums.groupBy("block", F.expr(f"part div {FAN}").alias("group")).applyInPandas(added, schema), "sums")
+        tasks = -(-tasks // FAN)
+    for r in sums.toLocalIterator():
+        change, squares = (np.frombuffer(r[c], dtype=np.float32) for c in ("change", "squares"))
+        model.flat[r["block"] * BLOCK : r["block"] * BLOCK + len(change)] += change / (np.float32(CALM) + squares)
 
-    # As many tasks as run at once: each sends a model.
-    parts = scratch.save(docs.select("text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(tidy(run), "block long, change binary, squares binary"), "trained")
-    for r in parts.groupBy("block").applyInPandas(average, "block long, change binary").toLocalIterator():
-        change = np.frombuffer(r["change"], dtype=np.float32)
-        model.flat[r["block"] * BLOCK : r["block"] * BLOCK + len(change)] += change
+
+def normalise(spark, model: LogBilinear) -> None:
+    """Fill in the model's normalisers: a block of contexts for each task."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in b.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([shared.value.normalisers(lo, min(lo + ROWS, shared.value.rows)).astype(np.float32).tobytes()], type=pa.binary())], names=["lo", "z"])
+
+    model.log_z = np.zeros((model.rows, model.rows), dtype=np.float32)
+    for r in spark.range(0, model.rows, ROWS, -(-model.rows // ROWS)).mapInArrow(tidy(run), "lo long, z binary").toLocalIterator():
+        model.log_z[r["lo"] : r["lo"] + ROWS] = np.frombuffer(r["z"], dtype=np.float32).reshape(-1, model.rows)
 
 
 def _cleared(place: Places) -> Places:
@@ -225,28 +170,21 @@ def _cleared(place: Places) -> Places:
     return place
 
 
-def _context_rows(ids: np.ndarray, place: Places, row_of: np.ndarray) -> np.ndarray:
-    """Context rows of a sequence of places in the lookup; of words outside it by their tail class."""
-    rows = row_of[ids]
+def _entries(ids: np.ndarray, place: Places, entry_of: np.ndarray, model: LogBilinear) -> np.ndarray:
+    """Entries of a sequence of places in the lookup; of words outside it by their tail."""
+    out = entry_of[ids]
     if place.noted:
-        rows[ids == 0] = np.fromiter(map(tail_class, place.noted), dtype=np.int32, count=len(place.noted)) + (row_of[-1] - CLASSES)
-    return rows
+        out[ids == 0] = np.fromiter(map(tail_of, place.noted), dtype=np.int32, count=len(place.noted)) + (model.entries - 1 - TAIL)
+    return out
 
 
-def tail_class(word: bytes) -> int:
-    return HEAD + 1 + zlib.crc32(word[-2:]) % TAIL
+def tail_of(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % TAIL
 
 
 def _tail_column(word: Column) -> Column:
     last = F.when(F.octet_length(word) <= 2, word).otherwise(F.substring(word, F.octet_length(word) - 1, F.lit(2)))
-    return (F.crc32(last) % TAIL + HEAD + 1).cast("int")
-
-
-class Classes(dict):
-    """Class of a word: looked up, or by its last bytes if it is not a frequent one."""
-
-    def __missing__(self, word: bytes) -> int:
-        return tail_class(word)
+    return (F.crc32(last) % TAIL).cast("int")
 
 
 class Places(dict):
@@ -261,6 +199,25 @@ class Places(dict):
         return 0
 
 
+def _frequent(counts: DataFrame, *sizes: int) -> list[Column]:
+    """For each size a condition on counts that about so many of the most frequent short words meet; a larger size holds the smaller ones.
+
+    Words are ranked by steps of their count; of the step that would go beyond the size, a share is taken by a hash of the word.
+    """
+    step, short = F.floor(F.log2("n") * 8), F.octet_length("word") <= LOOKUP_BYTES
+    rows = counts.filter(short).groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect()  # at most 8 * 63 rows
+    out = []
+    for size in sizes:
+        least, part, room = -1, 0.0, size
+        for r in rows:
+            if r["k"] > room:
+                least, part = r["step"], room / r["k"]
+                break
+            room -= r["k"]
+        out.append(short & ((step > least) | ((step == least) & (F.pmod(F.xxhash64("word", F.lit(29)), F.lit(1 << 30)) < int(part * (1 << 30))))))
+    return out
+
+
 def _held_out(doc_id: Column) -> Column:
     return id_crc(doc_id, 5) == 1
 
@@ -269,13 +226,14 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word (bytes) and n over whole texts: counted in each task, then summed by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen, size = Counter(), 0
         for b in batches:
             for text in byte_list(b.column("text")):
                 seen.update(text.lower().split())
-                if len(seen) > FLUSH:
+                size += len(text)
+                if len(seen) > FLUSH or size > FLUSH_BYTES:
                     yield _pairs(seen)
-                    seen = Counter()
+                    seen, size = Counter(), 0
         if seen:
             yield _pairs(seen)
 
@@ -300,87 +258,46 @@ def _sequence(rows: list[list[bytes]], place: dict) -> tuple[np.ndarray, np.ndar
     return out, tokens, n
 
 
-def _codes(classes: np.ndarray) -> np.ndarray:
-    """Triple code of each position (the first two are of no use)."""
-    c = classes.astype(np.int64)
-    out = np.zeros(len(c), dtype=np.int64)
-    out[2:] = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
-    return out
-
-
-def count_triples(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """code and n of class triples over whole texts; at most CLASSES ** 3 rows from each task and in all."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, counts = Classes(shared.value), np.zeros(CLASSES**3, dtype=np.int64)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                rows = [t.lower().split() for t in byte_list(whole.column("text").slice(lo, 512))]
-                ids, tokens, _ = _sequence(rows, classes)
-                ids[ids < 0] = END
-                counts += np.bincount(_codes(ids)[tokens], minlength=len(counts))
-        at = np.flatnonzero(counts)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["code", "n"])
-
-    return docs.select("text").mapInArrow(tidy(run), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
 def score_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
     docs needs doc_id and text; other columns are ignored. Null texts are empty and have one token, their end. A null doc_id
     counts as empty text for held_out. Repeated rows train and are scored each. Without training texts every token is unknown, of base
-    probability one. An empty table gives no rows. The count lookup and the model that tasks receive have fixed bounds;
-    counts of all other words are joined by a shuffle.
+    probability one; the score then has no context. An empty table gives no rows. Tasks receive the model and the counts of the most frequent words; counts of
+    all others are joined by a shuffle. Reruns over the same partitions agree.
     """
     spark = docs.sparkSession
-    train = docs.filter(~_held_out(F.col("doc_id")))
-    counts = scratch.save(count_words(train), "counts")
+    learned = docs.filter(~_held_out(F.col("doc_id")))
+    counts = scratch.save(count_words(learned), "counts")
     totals = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    ends = train.count()
+    ends = learned.count()
     tokens, distinct = int(totals["n"] or 0) + ends, totals["v"] + (1 if ends else 0)
 
-    # The most frequent words, by a threshold on the count: as many as fit the bound.
-    short = counts.filter(F.octet_length("word") <= LOOKUP_BYTES)
-    step = F.floor(F.log2("n") * 8)
-    least, room = None, max(LOOKUP_WORDS, vocabulary_size(tokens))
-    for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():  # at most 8 * 63 rows
-        if r["k"] > room:
-            break
-        room, least = room - r["k"], r["step"]
-    listed = (step >= least) & (F.octet_length("word") <= LOOKUP_BYTES) if least is not None else F.lit(False)
-    words = sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(listed).collect()), key=lambda x: (-x[1], x[0]))
-    head = {w: i for i, (w, _) in enumerate(words[:HEAD])}
-
-    triples = np.zeros(CLASSES**3, dtype=np.float64)
-    for r in count_triples(train, head).toArrow().to_batches():
-        triples[r.column("code").to_numpy()] = r.column("n").to_numpy()
-    start = LogBilinear(triples.reshape(CLASSES, CLASSES, CLASSES))
-
-    is_head = F.col("word").isin([bytearray(w) for w in head]) if head else F.lit(False)
-    mass = np.full(CLASSES, 0.5)
-    for r in counts.filter(~is_head).groupBy(_tail_column(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():  # TAIL rows
-        mass[r["c"]] += r["n"] + 0.5 * r["k"]
-    # Of each listed word (from place 1; place 0 is any other word, place -1 the end): context row, log10(c + 0.5), log10 share among the words beyond the vocabulary.
-    v = min(len(words), vocabulary_size(tokens))
-    klass = np.array([head[w] if w in head else tail_class(w) for w, _ in words], dtype=np.int32)
-    smooth = np.array([n + 0.5 for _, n in words])
-    beyond = np.maximum(mass - np.bincount(klass[len(head) : v], smooth[len(head) : v], CLASSES), 0.5)
-    row_of = np.concatenate([[0], np.arange(v), klass[v:] + (v + TAIL - CLASSES), [v + TAIL]]).astype(np.int32)
+    size = vocabulary_size(tokens)
+    in_vocabulary, listed = _frequent(counts, size, max(size, LOOKUP_WORDS))
+    words = sorted(((bytes(r["word"]), r["n"], r["own"]) for r in counts.filter(listed).select("word", "n", in_vocabulary.alias("own")).collect()), key=lambda x: (not x[2], -x[1], x[0]))
+    names, v = [w for w, _, _ in words], sum(own for _, _, own in words)
+    mass = np.full(TAIL, 0.5)  # smoothed counts of the words beyond the vocabulary and of unknown ones
+    for r in counts.filter(~in_vocabulary).groupBy(_tail_column(F.col("word")).alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():  # TAIL rows
+        mass[r["tail"]] += r["n"] + 0.5 * r["k"]
+    # Of each listed word (from place 1; place 0 is any other word, place -1 the end): entry, log10(c + 0.5), log10 share in its entry.
+    tails = np.array([tail_of(w) for w in names], dtype=np.int64)
+    smooth = np.array([n + 0.5 for _, n, _ in words])
+    entry_of = np.concatenate([[0], np.arange(v), v + tails[v:], [v + TAIL]]).astype(np.int32)
     log_c = np.log10(np.concatenate([[1.0], smooth, [ends + 0.5]]))
     share = np.zeros(len(log_c))
-    share[v + 1 : -1] = log_c[v + 1 : -1] - np.log10(beyond[klass[v:]])
-    model = WordModel(start, smooth[:v], klass[:v], beyond[HEAD + 1 :])
-    names = [w for w, _ in words]
+    share[v + 1 : -1] = log_c[v + 1 : -1] - np.log10(mass[tails[v:]])
+    own = min(v, context_size(tokens))
+    row_of = np.concatenate([np.arange(own), own + tails[own:v], own + np.arange(TAIL + 1)])
+    model = LogBilinear(np.concatenate([smooth[:v], mass, [ends + 0.5]]), row_of)
     if ends:
-        train_words(train, model, names, row_of, scratch)
-    shared = spark.sparkContext.broadcast((names, row_of, log_c, share, np.log10(beyond), model))
+        train(learned, tokens, model, names, entry_of, scratch)
+    normalise(spark, model)
+    shared = spark.sparkContext.broadcast((names, entry_of, log_c, share, np.log10(mass), model))
     known_end = ends > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, row_of, log_c, share, log_beyond, model = shared.value
+        names, entry_of, log_c, share, log_mass, model = shared.value
         place = _places(shared, names)
         row = TaskContext.get().partitionId() << 36
         for whole in batches:
@@ -388,13 +305,13 @@ def score_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 b = whole.slice(lo, 256)
                 ids, is_token, n = _sequence([t.lower().split() for t in byte_list(b.column("text"))], _cleared(place))
                 other = np.flatnonzero(ids == 0)
-                rows = _context_rows(ids, place, row_of)
+                entries = _entries(ids, place, entry_of, model)
                 score = share[ids]
                 base = log_c[ids]
                 if len(other):
-                    score[other] = -log_beyond[rows[other] + (CLASSES - row_of[-1])]
+                    score[other] = -log_mass[entries[other] - (model.entries - 1 - TAIL)]
                     base[other] = 0.0
-                score = score[is_token] + model.log_p(rows, np.flatnonzero(is_token))
+                score = score[is_token] + model.log_p(entries, np.flatnonzero(is_token))
                 base, found = base[is_token], (ids != 0)[is_token]
                 if not known_end:
                     found &= (ids != -1)[is_token]
