@@ -52,6 +52,21 @@ def test_words_give_the_ids_of_whole_texts(texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in WORDS(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+LETTERS = "".join(chr(c) for r in ((0x41, 0x5B), (0x61, 0x7B), (0x20, 0x21), (0x0A, 0x0B), (0x300, 0x370), (0xC0, 0x250), (0x1E00, 0x1F00), (0x1F00, 0x2000)) for c in range(*r))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(st.sampled_from(LETTERS) | st.characters(codec="utf-8"), max_size=30), min_size=1, max_size=8))
+def test_marks_that_compose(texts):
+    assert [np.frombuffer(g, "<u4").tolist() for g in WORDS(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_every_capital_with_every_mark():
+    texts = [f"x {chr(c)}{m}{chr(k)} y" for c in range(0x41, 0x5B) for k in range(0x300, 0x370) for m in ("", "\u0323", "a")]
+    texts += ["W\u030a", "Y\u030a", "H\u0331", "T\u0308", "J\u030c"]
+    assert [np.frombuffer(g, "<u4").tolist() for g in WORDS(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_special_tokens_in_texts():
     texts = ["a<|endoftext|>b", "<|ENDOFTEXT|> x", "<|startoftext|>", "a <|endoftext|> <| endoftext |>"]
     assert [np.frombuffer(g, "<u4").tolist() for g in WORDS(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
