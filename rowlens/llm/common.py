@@ -110,14 +110,19 @@ def byte_list(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one, named row: beside it no name of ours can clash with a column. ``select("row.*")`` gives df back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 def _maybe_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """df with _hit: false where the key is surely not in ids (ids.key), by a bitmap of at most 1 MB whatever the input."""
+    """row (all of df) and hit: false where the key is surely not in ids (ids.key), by a bitmap of at most 1 MB whatever the input."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    maps = ids.select(spot(F.col(key)).alias("_h")).groupBy(F.expr("bitmap_bucket_number(_h)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_h))").alias("_map"))
-    out = df.withColumn("_h", spot(F.col(key))).withColumn("_bucket", F.expr("bitmap_bucket_number(_h)"))
-    out = out.join(F.broadcast(maps), "_bucket", "left")  # at most BITS / 32768 rows of 4 KB
-    hit = F.expr("(cast(conv(hex(substring(_map, cast(bitmap_bit_position(_h) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(bitmap_bit_position(_h) % 8 as int))) != 0")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(hit, F.lit(False)).alias("_hit"))
+    maps = ids.select(spot(F.col(key)).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("map"))
+    out = df.select(spot(F.col(key)).alias("h"), whole_row(df)).withColumn("bucket", F.expr("bitmap_bucket_number(h)"))
+    out = out.join(F.broadcast(maps), "bucket", "left")  # at most BITS / 32768 rows of 4 KB
+    hit = F.expr("(cast(conv(hex(substring(map, cast(bitmap_bit_position(h) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(bitmap_bit_position(h) % 8 as int))) != 0")
+    return out.select("row", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
 def prune_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -125,10 +130,11 @@ def prune_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
     It only spares the shuffle of wide rows, and spares less of it the more ids there are.
     """
-    return _maybe_in(df, ids, key).filter("_hit").drop("_hit")
+    return _maybe_in(df, ids, key).filter("hit").select("row.*")
 
 
 def remove_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is not in ids; rows without a key stay. Only rows that may go are shuffled."""
     marked = _maybe_in(df, ids, key)
-    return marked.filter("not _hit").drop("_hit").unionByName(marked.filter("_hit").drop("_hit").join(ids.select(key), key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns]))
+    left = marked.filter("hit").select("row", F.col(f"row.{key}").alias("key")).join(ids.select(F.col(key).alias("key")), "key", "left_anti")
+    return marked.filter("not hit").select("row.*").union(left.select("row.*"))

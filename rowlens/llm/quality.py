@@ -14,16 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import byte_list, id_crc, small_batches, tidy
+from .common import Scratch, byte_list, id_crc, small_batches, tidy, whole_row
 
 WORDS = 1 << 14
 RANK = 8
 BINS = 12
-#: Bound on the labelled documents that the machine is fitted on, drawn evenly by a hash of the id.
-FIT_ROWS = 8_000
+#: Bounds on the labelled documents that the machine is fitted on, and on their features (131 KB for the longest texts); drawn evenly by hashes of the id.
+FIT_ROWS, FIT_BYTES = 8_000, 256 << 20
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.05, 1e-5
 STATS = ("length", "words", "word_length", "upper", "digits", "symbols", "exclaims", "ascii", "distinct_words", "distinct_lines", "line_length", "common_byte", "stated_chars")
 SIZE = WORDS + len(STATS) * BINS
@@ -109,8 +110,13 @@ def fit(at: list[np.ndarray], value: list[np.ndarray], labels: np.ndarray, seed:
     return m
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
-    """A machine fitted on at most about fit_rows labelled documents outside the held-out quarter."""
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Machine:
+    """A machine fitted on at most about fit_rows labelled documents outside the held-out quarter, and on fewer if their features take more than fit_bytes.
+
+    docs needs doc_id and text, and may have n_chars; labels needs doc_id and quality; other columns are ignored. Labels without doc_id, and those
+    other than 0 and 1, are ignored; of several labels of a document the larger one holds. Null texts are empty; rows that
+    share a doc_id are rows to learn from each. Without usable rows every score is 0.5.
+    """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (id_crc(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, fit_rows / max(1, usable.count()))
     drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -120,39 +126,42 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
             found = [features(t, s) for t, s in zip(byte_list(b.column("text")), b.column("n_chars").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([f[0].astype("<i4").tobytes() for f in found], type=pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], type=pa.binary())], names=["doc_id", "quality", "at", "value"])
 
-    small_batches(docs.sparkSession)
     kinds = dict(usable.dtypes)
-    rows = _with_chars(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text", "n_chars")  # drawn: about fit_rows ids and labels
-    got = rows.mapInArrow(tidy(run), f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, at binary, value binary").collect()
+    rows = docs.select("doc_id", "text", _chars(docs).alias("n_chars")).join(F.broadcast(drawn), "doc_id")  # drawn: about fit_rows ids and labels
+    with Scratch(docs.sparkSession) as s:
+        found = s.save(rows.mapInArrow(tidy(run), f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, at binary, value binary"), "features")
+        size = found.agg(F.sum(F.octet_length("at") + F.octet_length("value"))).first()[0] or 0
+        share = min(1.0, fit_bytes / max(1, size))
+        got = found.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < int(share * (1 << 30))).collect()  # about fit_bytes at most
     got.sort(key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["value"])))
     return fit([np.frombuffer(r["at"], dtype="<i4") for r in got], [np.frombuffer(r["value"], dtype="<f4") for r in got], np.array([r["quality"] for r in got], dtype=float))
 
 
-def _with_chars(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("n_chars"))
+def _chars(docs: DataFrame) -> Column:
+    return F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
 
-def score_quality(docs: DataFrame, machine: Machine, *carry: str) -> DataFrame:
-    """doc_id (and the columns of carry), held_out, score and predicted (1 from a score of 0.7) of each row of docs.
+def score_quality(docs: DataFrame, machine: Machine, keep_row: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted (1 from a score of 0.7) of each row of docs; keep_row adds all of its columns as one, row.
 
-    docs needs doc_id and text, and may have n_chars; other columns are ignored. Null texts are empty; empty texts are
-    scored by their statistics. A null doc_id counts as empty text for held_out. Repeated rows are scored each; an empty
-    table gives no rows. Labels, lang, source and doc_id are no inputs of the score.
+    docs needs doc_id and text, and may have n_chars; other columns are ignored, whatever their names. Null texts are empty; empty texts are
+    scored by their statistics. A null doc_id counts as empty text for held_out, and what is no number in n_chars as null. Repeated rows are
+    scored each; an empty table gives no rows. Labels, lang, source and doc_id are no inputs of the score.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    names = ["doc_id", *carry]
+    carried = docs.select(whole_row(docs) if keep_row else "doc_id", F.col("text").alias("text_"), _chars(docs).alias("chars_"))
+    first = carried.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                found = [features(t, s) for t, s in zip(byte_list(b.column("_text")), b.column("_chars").to_pylist(), strict=True)]
+                found = [features(t, s) for t, s in zip(byte_list(b.column("text_")), b.column("chars_").to_pylist(), strict=True)]
                 starts = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])[:-1]]).astype(np.int64)
                 z = shared.value.margins(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), starts)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30))), type=pa.float64())], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([b.column(first), pa.array(1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30))), type=pa.float64())], names=[first, "score"])
 
-    kinds = dict(docs.dtypes)
-    chars = (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("_chars")
-    out = docs.select(*names, F.col("text").alias("_text"), chars).mapInArrow(tidy(run), ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double")
-    return out.select(*names, (id_crc(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    kind = StructType([carried.schema[first], StructField("score", DoubleType())])
+    out, doc_id = carried.mapInArrow(tidy(run), kind), F.col("row.doc_id" if keep_row else "doc_id")
+    return out.select(doc_id.alias("doc_id"), (id_crc(doc_id, 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *(["row"] if keep_row else []))
