@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import Scratch, remove_by_ids, table
+from rowlens.llm.common import Scratch, remove_by_ids, table, whole_row
 from rowlens.llm.exact_dedup import dedup_exact
 from rowlens.llm.mixing import mix
 from rowlens.llm.near_dedup import near_dedup
@@ -19,11 +19,15 @@ from rowlens.llm.quality import fit_quality, score_quality
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a score of at least 0.7; all of them if there are no labels to learn from."""
+    """Documents of a score of at least 0.7; all of them if there are no labels to learn from.
+
+    Null and empty texts are scored by their statistics; repeated rows score alike, so all of them stay or go. An empty table stays
+    empty. Other columns, whatever their names, come back as they were.
+    """
     machine = fit_quality(docs, table(spark, sf_dir, "labels"))
     if not machine.rows:
         return docs
-    return score_quality(docs, machine, *[c for c in docs.columns if c != "doc_id"]).filter("predicted = 1").select(*docs.columns)
+    return score_quality(docs, machine, keep_row=True).filter("predicted = 1").select("row.*")
 
 
 def _gone(found: DataFrame) -> DataFrame:
@@ -32,30 +36,42 @@ def _gone(found: DataFrame) -> DataFrame:
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the one with the most code points, then of the smallest id.
+
+    Null, empty and blank texts are equal to each other. All rows of an id stay or go together; rows without an id stay. An empty table stays empty.
+    Other columns, whatever their names, come back as they were.
+    """
     with Scratch(spark) as s:
         gone = s.keep(_gone(dedup_exact(docs, s)))
     return remove_by_ids(docs, gone, "doc_id")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    """One document, of the smallest id, of each group linked by five-word shingles at a similarity of 0.8.
+
+    Null, empty and blank texts link with nothing. All rows of an id stay or go together; rows without an id stay. An empty table stays empty.
+    Other columns, whatever their names, come back as they were.
+    """
     with Scratch(spark) as s:
         gone = s.keep(_gone(near_dedup(docs, s, size=5, percent=80)))
     return remove_by_ids(docs, gone, "doc_id")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of each document as the mix takes copies of it."""
+    """As many rows of each document as the mix takes copies of it.
+
+    Null, empty and blank texts have no words and go; a null source is a source of its own. Of rows that share an id each comes as often as the most
+    frequent of them, and rows without an id come once. An empty table stays empty. Other columns, whatever their names, come back as they were.
+    """
     with Scratch(spark) as s:
-        copies = s.keep(mix(docs, s).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")))
+        copies = s.keep(mix(docs, s).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")))
     # Always a join of sorted sides: the copies of a large corpus are no table to broadcast.
-    out = docs.join(copies.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
-    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    out = docs.select(F.col("doc_id").alias("id"), whole_row(docs)).join(copies.hint("merge"), "id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("int"))
+    return out.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences. A null text is empty; repeated rows are packed each; a null id is kept; an empty table gives no rows."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
