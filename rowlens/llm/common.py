@@ -16,6 +16,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS = 1 << 23
+FILE_ROWS = 100_000  # of a scratch table with a known number of narrow rows
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,9 +72,10 @@ class Scratch:
         self.paths.append(at := f"{self.root}/{name}-{len(self.paths)}")
         return at
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: about as many as the table has at most, if known. Few rows then make few files, and few tasks for what follows."""
         at = self.path(name)
-        df.write.parquet(at)
+        (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, df_or_path) -> None:

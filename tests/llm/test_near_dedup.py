@@ -63,6 +63,36 @@ def test_drifting_groups(spark, scratch, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == model(rows, 2)
 
 
+def test_units_hold_all_pairs_that_may_link(spark, scratch, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 5)
+    rng = random.Random(3)
+    rows = [(b, i, rng.choice([i, 0, 1]), rng.randint(1, 60)) for b in range(4) for i in rng.sample(range(200), 60)]
+    sizes = {i: n for _, i, _, n in rows}
+    labelled = spark.createDataFrame([(b, i, c) for b, i, c, _ in rows], "bucket long, id long, component long")
+    units = nd._units(labelled, spark.createDataFrame(list(sizes.items()), "id long, n long"), 80, scratch).collect()
+    held = {}
+    for u in units:
+        held.setdefault(tuple(u[c] for c in nd.UNIT), ([], []))[u["side"]].append((u["id"], u["component"]))
+    assert all(len(x) <= 60 for x in held.values())
+    met = []
+    for (b, _, step, i, j), (left, right) in held.items():
+        pairs = [(x, y) for k, x in enumerate(left) for y in (left[k + 1 :] if step == 0 and i == j else right)]
+        met += [(b, *sorted((x[0], y[0]))) for x, y in pairs if x[1] != y[1]]
+    assert len(met) == len(set(met))  # none twice
+    want = {(b, *sorted((x, y))) for b, x, p, _ in rows for c, y, q, _ in rows if b == c and x < y and p != q and 100 * min(sizes[x], sizes[y]) >= 80 * max(sizes[x], sizes[y])}
+    assert want <= set(met)
+
+
+def test_groups_over_batches():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 5, (500, 2))
+    keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+    whole = nd.pa.RecordBatch.from_pydict({"a": keys[:, 0], "b": keys[:, 1], "v": np.arange(500)})
+    got = list(nd._groups((whole.slice(lo, 37) for lo in range(0, 500, 37)), ["a", "b"]))
+    assert [x for g in got for x in g["v"]] == list(range(500)) and len(got) == len({tuple(k) for k in keys.tolist()})
+    assert all(len(set(zip(g["a"], g["b"], strict=True))) == 1 for g in got)
+
+
 def test_threshold_is_inclusive(spark, scratch):
     a = " ".join(f"a{i}" for i in range(10))  # 9 shingles of two words
     rows = [(1, a), (2, " ".join(a.split()[:9]) + " z"), (3, a + " b c")]  # 8 of 10, 9 of 11
