@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
@@ -91,30 +91,55 @@ def _round(pdf: pd.DataFrame, land: bool) -> pd.DataFrame:
     return pdf.assign(p=landing(p, size) if land else p)
 
 
+def source_targets(sources: DataFrame, scratch: Scratch, share: float = SHARE, weights=WEIGHTS, most: float = MOST) -> DataFrame:
+    """source, source_size and target of each source, as in targets(), for any number of them; sources has source and n, its words.
+
+    Ranks are counted by ranges of names. The level to which all sources are filled is found by closing, step by step, those that it
+    would take above their bound: one aggregation a step, of which the driver gets one row.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = scratch.save(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    ahead = F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = ranged.groupBy("part").agg(F.count("*").alias("k")).select("part", ahead.alias("ahead"))  # a row for each shuffle partition
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("ahead")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    known = scratch.save(ranged.join(before, "part").withColumn("weight", weight), "weighted")
+    over, closed, total = F.lit(False), -1, None
+    while True:
+        row = known.agg(F.sum("n").alias("n"), F.sum(F.when(over, F.col("n"))).alias("closed_n"), F.sum(F.when(over, 1)).alias("closed"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if (row["closed"] or 0) == closed or not row["open"]:
+            break
+        total, closed = int(row["n"]), row["closed"] or 0
+        unit = (share * total - most * int(row["closed_n"] or 0)) / row["open"]
+        over = F.lit(unit) * F.col("weight") > F.lit(most) * F.col("n")
+    if total is None:  # no sources
+        unit = 0.0
+    return known.select("source", F.col("n").alias("source_size"), "docs", F.when(over, F.lit(most) * F.col("n")).otherwise(F.lit(unit) * F.col("weight")).alias("target"))
+
+
 def mix(docs: DataFrame, scratch: Scratch, share: float = SHARE, weights=WEIGHTS, most: float = MOST, group: int = GROUP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of each row of docs.
 
     docs needs doc_id, source and text. A null text has size 0; a null source is a source of its own, last in order. A
-    document of size 0 takes no words and gets no copies. Repeated rows are sampled each for itself. An empty table, or
+    document of size 0 takes no words and gets no copies. Repeated rows are sampled each for itself, told apart by their number. An empty table, or
     one without words, gives targets of 0. The choice depends on ids, sources and sizes alone, not on partitions, so reruns agree.
-    One row per source comes to the driver: names and sizes, never documents.
     """
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = scratch.save(sized, "sized")
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
-    sizes, count = {r["source"]: int(r["n"]) for r in rows}, {r["source"]: int(r["docs"]) for r in rows}
-    want = targets(sizes, share, weights, most)
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(s, sizes[s], float(want[s]), want[s] / sizes[s] if sizes[s] else 0.0, max(1, -(-count[s] // group))) for s in sizes], f"source {dict(docs.dtypes)['source']}, source_size long, target double, pi double, parts long")
-    out = sized.join(F.broadcast(known.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # one row per source
+    # Rows alike in id, source and size are counted and told apart by number: however many there are, they fly in groups of their own.
+    rows = scratch.save(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")), "sized")
+    sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("n"), F.sum("times").alias("docs"))
+    known = source_targets(sources, scratch, share, weights, most)
+    known = known.withColumn("pi", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("docs") / group)).cast("long"))
+    known = scratch.save(known.select(F.col("source").alias("_source"), "source_size", "target", "pi", "parts"), "known")
+    out = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     out = out.withColumn("base", F.floor("pi")).withColumn("p", F.when(F.col("size") > 0, F.col("pi") - F.col("base")).otherwise(0.0))
-    out = out.withColumn("order", F.xxhash64("doc_id", "source", "size")).withColumn("group", F.pmod(F.col("order"), F.col("parts")))
+    out = out.withColumn("order", F.xxhash64("doc_id", "source", "size", "number")).withColumn("group", F.pmod(F.col("order"), F.col("parts")))
     cols = "doc_id, source, size, source_size, target, pi, parts, base, p, order, group".split(", ")
     out, types = out.select(*cols), dict(out.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in cols)
     flown = scratch.save(out.filter("p > 0").groupBy("source", "group").applyInPandas(lambda pdf: _round(pdf, False), schema), "flight")
     settled = [out.filter("p <= 0"), flown.filter("p = 0 or p = 1")]
-    parts, still = max([1, *(-(-n // group) for n in count.values())]), flown.filter("p > 0 and p < 1")
+    parts, still = known.agg(F.max("parts")).first()[0] or 1, flown.filter("p > 0 and p < 1")
     while parts > 1:  # two open documents of each group meet in groups of the next round
         parts = -(-parts // (group // 2))
         flown = scratch.save(still.withColumn("group", F.pmod(F.shiftright("order", 8), F.lit(parts))).groupBy("source", "group").applyInPandas(lambda pdf: _round(pdf, False), schema), "flight")

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
-from rowlens.llm.mixing import flight, landing, mix, targets
+from rowlens.llm.mixing import flight, landing, mix, source_targets, targets
 
 
 def test_targets_by_hand():
@@ -63,3 +63,28 @@ def test_hard_rows(hard_docs, hard_rows, no_docs, scratch):
 def test_no_words(spark, scratch):
     df = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["target"], r["taken"]) for r in mix(df, scratch).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_targets_of_many_sources(spark, scratch):
+    rng = random.Random(2)
+    for some in ([], ["a"], [f"h{i}é\U0001f600"[: rng.randint(1, 9)] + str(i) for i in range(300)]):
+        sizes = {s: rng.choice([0, 1, 5, 1000, 10**6]) for s in some} | ({None: 50} if len(some) > 1 else {})
+        df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, n long, docs long").repartition(4)
+        assert {r["source"]: r["target"] for r in source_targets(df, scratch).collect()} == targets(sizes)
+
+
+def test_equal_rows_do_not_share_a_flight(spark, scratch):
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'s' as source", "'a b c' as text").union(spark.range(2000).selectExpr("id", "'t'", "'a b'"))
+    seen = []
+    got = mix(df, scratch, group=64).collect()
+    assert len(got) == 5000
+    for s, n in (("s", 3), ("t", 2)):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2 * n and {r["taken"] for r in mine} <= {0, n, 2 * n}
+        seen.append(mine[0]["target"])
+    assert abs(sum(seen) - 1.5 * 13000) < 1e-6
+
+
+def test_sources_of_any_kind(spark, scratch):
+    df = spark.createDataFrame([(1, "a b", 3, 5), (2, "c", None, 5), (3, "d e f", 1, 5)], "doc_id long, text string, source int, n long")
+    assert sorted(r["source_size"] for r in mix(df, scratch).collect()) == [1, 2, 3]
