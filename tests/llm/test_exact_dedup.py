@@ -41,6 +41,24 @@ def test_colliding_digests_do_not_drop_documents(hard_docs, hard_rows, scratch):
     assert rows_of(got) == sorted([w[:4] for w in want], key=str)
 
 
+def test_a_later_call_goes_on_from_the_state(spark, scratch, tmp_path):
+    rows = [(i, f"text {i % 7}" + " " * (i % 3)) for i in range(60)]
+    state = f"{scratch.root}/kept-state"
+    before = spark.createDataFrame(rows[:40], "doc_id long, text string")
+    assert rows_of(dedup_exact(before, scratch, state_dir=state)) == model(rows[:40])
+    spark.createDataFrame(rows[40:], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    later = rows_of(dedup_exact(spark.read.parquet(str(tmp_path / "d")), scratch, state_dir=state))
+    assert later == [m for m in model(rows) if m[0] >= 40]
+    scratch.remove(state)
+
+
+def test_rows_without_id_are_checked(spark, scratch):
+    weak = lambda text: F.substring(F.sha2(text.cast("binary"), 256), 1, 1)
+    rows = [(None, f"t{i % 30}") for i in range(60)]
+    got = dedup_exact(spark.createDataFrame(rows, "doc_id long, text string"), scratch, digest=weak).collect()
+    assert len(got) == 60 and {r["group_size"] for r in got} == {2}
+
+
 def test_empty(no_docs, scratch):
     assert dedup_exact(no_docs, scratch).count() == 0
 
