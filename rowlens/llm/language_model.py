@@ -40,8 +40,8 @@ LOOKUP_WORDS, LOOKUP_BYTES = 1 << 17, 64
 VOCABULARY, CONTEXTS = 64, 120  # words for each cube root, contexts for each eighth root of the training tokens
 WIDTH, NOISE, BATCH, RATE = 24, 32, 512, 0.1
 CALM = 10.0  # a task's change counts as if this much had been added to its squares: rare entries' changes are summed, others' averaged
-#: Training tokens of a task: at least, where there are fewer tasks than could run, and at most.
-LEAST_TOKENS, MOST_TOKENS = 1 << 22, 1 << 30
+#: Training tokens of a task for each parameter it sends: its text is then at least five times as large as its changes.
+TASK_TOKENS = 8
 FLUSH, FLUSH_BYTES = 200_000, 64 << 20  # words of a task's counter, and bytes of text that went into it
 BLOCK, FAN = 1 << 16, 32  # parameters sent in one row, and rows summed by one task
 ROWS, ENTRIES = 256, 4096  # contexts and entries of one matrix product
@@ -141,7 +141,7 @@ def train(docs: DataFrame, tokens: int, model: LogBilinear, names: list[bytes],
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1] // FAN, "change": sums[:1], "squares": sums[1:]})
 
     schema = "block long, part long, change binary, squares binary"
-    tasks = max(math.ceil(tokens / MOST_TOKENS), min(spark.sparkContext.defaultParallelism, max(1, tokens // LEAST_TOKENS)))
+    tasks = max(1, int(tokens / (TASK_TOKENS * len(model.flat))))
     sums = scratch.save(docs.select("text").coalesce(tasks).mapInArrow(tidy(run), schema), "trained")
     while tasks > 1:  # FAN rows of a block at a time
         sums = scratch.save(sums.groupBy("block", F.expr(f"part div {FAN}").alias("group")).applyInPandas(added, schema), "sums")

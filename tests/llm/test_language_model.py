@@ -158,7 +158,7 @@ def test_vocabulary_grows(spark, monkeypatch):
 
 
 def test_changes_of_many_tasks_are_joined(spark, scratch, monkeypatch):
-    monkeypatch.setattr(lm, "LEAST_TOKENS", 1)
+    monkeypatch.setattr(lm, "TASK_TOKENS", 0.1)
     monkeypatch.setattr(lm, "FAN", 2)
     monkeypatch.setattr(lm, "BLOCK", 1000)
     rng = random.Random(5)
