@@ -2,7 +2,8 @@
 
 A vector is rotated by sign flips and fast Hadamard transforms; the coordinate of largest magnitude, with its sign, names the nearest vertex
 of the cross-polytope. FUNCTIONS such vertices make the bucket of one table, and each vector also goes to the buckets it nearly
-fell in (multiprobe). Pairs that meet in two tables are candidates and are verified in double precision.
+fell in (multiprobe). Pairs that meet in two tables, and whose signs on random projections nearly agree, are candidates and are verified in double
+precision. Functions grow with the logarithm of the number of vectors, and tables with them, by the measured chance to meet at the threshold.
 
 Vectors that crowd together are first gathered in balls of less than half the linking angle, whose members are all linked;
 tables, candidates and most verifications then handle one row for each ball, so thousands of copies cost no pairs.
@@ -13,12 +14,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import product
 from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ MISSED = 2e-5  # share of pairs at the linking angle that may be missed, whateve
 MOST_TABLES = 4096 - 3  # of the bucket's 12 bits for tables, those of the balls apart
 BALL_ROUNDS = 3
 BLOCK = 1024
-SLACK = 1e-9
+SIGNS, SIGMAS = 128, 6.0  # signs of projections that must nearly agree before vectors are compared: 1e-9 of the pairs at the threshold are lost
 
 
 @lru_cache(maxsize=64)
@@ -70,12 +71,23 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=64)
+def _ways(functions: int, near: int, probes: int) -> tuple[tuple[int, ...], ...]:
+    """Choices of a vertex (0 the nearest) by each function that can be among the best probes: of a choice that goes l_1, l_2, ... vertices
+    down, (l_1 + 1) (l_2 + 1) ... - 1 others cost no more."""
+    found: list[tuple[tuple[int, ...], int]] = [((), 1)]
+    for _ in range(functions):
+        found = [((*w, k), n * (k + 1)) for w, n in found for k in range(near) if n * (k + 1) <= probes]
+    return tuple(w for w, _ in found)
+
+
 def table_buckets(unit: np.ndarray, table: int, functions: int = FUNCTIONS, probes: int = PROBES) -> np.ndarray:
     """Buckets of each row of unit in a table, its own first, then those it nearly fell in."""
     n, d = unit.shape
     width = 1 << max(0, (d - 1).bit_length())
-    tops, falls = [], []
     near = min(NEAR, width)
+    ways = _ways(functions, near, probes)
+    cost, keys = np.zeros((n, len(ways))), np.zeros((n, len(ways)), dtype=np.uint64)
     for f in range(functions):
         rng = np.random.default_rng([table, f, d])
         x = np.zeros((n, width))
@@ -85,31 +97,35 @@ def table_buckets(unit: np.ndarray, table: int, functions: int = FUNCTIONS, prob
         size = np.abs(x)
         order = np.argsort(-size, axis=1, kind="stable")[:, :near]
         best = np.take_along_axis(size, order, axis=1)
-        tops.append(order * 2 + (np.take_along_axis(x, order, axis=1) < 0))
-        falls.append((best[:, :1] - best) ** 2)
-    ways = list(product(range(near), repeat=functions))
-    cost = np.stack([sum(falls[f][:, w[f]] for f in range(functions)) for w in ways], axis=1)
+        top = (order * 2 + (np.take_along_axis(x, order, axis=1) < 0)).astype(np.uint64) * rng.integers(1, 1 << 63, dtype=np.uint64) * np.uint64(2)
+        at = [w[f] for w in ways]
+        cost += ((best[:, :1] - best) ** 2)[:, at]
+        keys += top[:, at]
     chosen = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-    keys = np.stack([sum(tops[f][:, w[f]].astype(np.int64) * (2 * width) ** f for f in range(functions)) for w in ways], axis=1)
-    out = np.take_along_axis(keys, chosen, axis=1)
-    return (out * 4096 + table) * 8192 + d % 8192  # the dimension keeps vectors of unlike length apart
+    out = np.take_along_axis(keys, chosen, axis=1) * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    return ((out << np.uint64(25)).view(np.int64) + (table << 13)) + d % 8192  # the dimension keeps vectors of unlike length apart
+
+
+def simhash(unit: np.ndarray) -> np.ndarray:
+    """SIGNS signs of random projections of each row, as pairs of signed 64-bit numbers."""
+    signs = unit @ np.random.default_rng([7, unit.shape[1]]).normal(size=(unit.shape[1], SIGNS)) > 0
+    return np.packbits(signs, axis=1).view(np.int64)
 
 
 def _units(column: pa.Array) -> list[np.ndarray | None]:
     """Unit vectors in double precision; None for what links with nothing."""
-    out = []
-    for v in column.to_pylist():
-        if v is None or not len(v) or any(x is None for x in v):
-            out.append(None)
-            continue
-        x = np.asarray(v, dtype=np.float64)
-        with np.errstate(over="ignore", invalid="ignore"):
-            top = np.abs(x).max()
-        if not np.isfinite(top) or top == 0:
-            out.append(None)
-            continue
-        x = x / top
-        out.append(x / math.sqrt(float(x @ x)))
+    out: list[np.ndarray | None] = [None] * len(column)
+    size = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()])
+    for d in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == d)
+        x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)  # a null component becomes nan
+        top = np.abs(x).max(axis=1)
+        good = np.isfinite(top) & (top > 0)
+        x = x[good] / top[good, None]
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        for i, row in zip(at[good].tolist(), x, strict=True):
+            out[i] = row
     return out
 
 
@@ -149,17 +165,57 @@ def _hashed(units: DataFrame, tables: range, functions: int, probes: int) -> Dat
     return units.select(*carry, "unit").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in carry) + ", bucket long")
 
 
-def _angles(pairs: DataFrame, carry: str) -> DataFrame:
-    """pairs with the angle between unit and other; carry lists the columns kept, as a schema."""
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _compared(pairs: DataFrame, carry: str) -> DataFrame:
+    """pairs with the cosine of unit and other; carry lists the columns kept, as a schema."""
     names = [c.split()[0] for c in carry.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = b.column("unit").to_pylist(), b.column("other").to_pylist()
-            cos = np.array([float(np.frombuffer(x) @ np.frombuffer(y)) for x, y in zip(a, c, strict=True)])
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=[*names, "angle"])
+            cos, size = np.zeros(len(a)), np.array([len(x) for x in a])
+            for s in np.unique(size):
+                at = np.flatnonzero(size == s)
+                cos[at] = _cosines(_matrix([a[i] for i in at]), _matrix([c[i] for i in at]))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(cos)], names=[*names, "cosine"])
+
+    return pairs.select(*names, "unit", "other").mapInArrow(tidy(run), f"{carry}, cosine double")
+
 
-    return pairs.select(*names, "unit", "other").mapInArrow(tidy(run), f"{carry}, angle double")
+def _signed(balls: DataFrame) -> DataFrame:
+    """ball, r, s1, s2: the radius and the signs of projections of each ball's centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column("unit").to_pylist()
+            size, signs = np.array([len(x) for x in raw]), np.zeros((len(raw), 2), dtype=np.int64)
+            for s in np.unique(size):
+                at = np.flatnonzero(size == s)
+                signs[at] = simhash(_matrix([raw[i] for i in at]))
+            yield pa.RecordBatch.from_arrays([b.column("ball"), b.column("r"), pa.array(signs[:, 0]), pa.array(signs[:, 1])], names=["ball", "r", "s1", "s2"])
+
+    return balls.select("ball", "r", "unit").mapInArrow(tidy(run), "ball long, r double, s1 long, s2 long")
+
+
+def _meetings(spots: DataFrame, full: float) -> DataFrame:
+    """bucket, p, q of balls (p < q) that share a bucket and whose signs are near enough; spots has bucket, ball, r, s1, s2, n (balls of the bucket).
+
+    A large bucket is compared block against block. Signs differ by the angle's share of half a turn, give or take: SIGMAS deviations are allowed.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = spots.withColumn("own", F.pmod(F.xxhash64("ball"), blocks).cast("int"))
+    sides = []
+    for suffix, span in (("a", F.sequence(F.col("own"), blocks - 1)), ("b", F.sequence(F.lit(0), F.col("own")))):
+        x = rows.withColumn("their", F.explode(span))
+        i, j = ("own", "their") if suffix == "a" else ("their", "own")
+        sides.append(x.select("bucket", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{c}_{suffix}") for c in ("ball", "r", "s1", "s2")]))
+    share = f"(({full} + r_a + r_b) / pi())"
+    close = F.expr(f"bit_count(s1_a ^ s1_b) + bit_count(s2_a ^ s2_b) <= {SIGNS} * {share} + {SIGMAS} * sqrt({SIGNS} * {share} * greatest(0.0, 1 - {share}))")
+    met = sides[0].join(sides[1], ["bucket", "i", "j"]).filter(F.expr("(i < j or ball_a < ball_b) and ball_a != ball_b") & close)
+    return met.select("bucket", F.least("ball_a", "ball_b").alias("p"), F.greatest("ball_a", "ball_b").alias("q"))
 
 
 def _counted(rows: DataFrame, least: float) -> DataFrame:
@@ -169,7 +225,11 @@ def _counted(rows: DataFrame, least: float) -> DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"p": [], "q": [], "rid": [], "n": []}).astype("int64")
-        hit = _matrix(a["unit"]) @ _matrix(b["unit"]).T >= least
+        x, y = _matrix(a["unit"]), _matrix(b["unit"])
+        cos = x @ y.T
+        i, j = np.nonzero(np.abs(cos - least) < 1e-12)  # at the threshold the same sum as elsewhere decides
+        cos[i, j] = _cosines(x[i], y[j])
+        hit = cos >= least
         out = pd.DataFrame({"rid": np.concatenate([a["rid"], b["rid"]]), "n": np.concatenate([hit.sum(axis=1), hit.sum(axis=0)])})
         return out[out["n"] > 0].assign(p=pdf["p"].iloc[0], q=pdf["q"].iloc[0])[["p", "q", "rid", "n"]]
 
@@ -186,7 +246,7 @@ def embedding_dedup(vectors: DataFrame, scratch: Scratch, least: float = 0.9) ->
     no rows. No false links are reported; a link is missed if its pair meets in fewer than MEET tables, of which there
     are as many as keep the chance of that below MISSED.
     """
-    full = math.acos(least)
+    full, angle = math.acos(least), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine"))))
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "embedding")
     base = scratch.save(_prepare(rows), "units")
     units = base.filter("unit is not null").select("rid", "unit")
@@ -198,7 +258,7 @@ def embedding_dedup(vectors: DataFrame, scratch: Scratch, least: float = 0.9) ->
     for round_ in range(BALL_ROUNDS):
         homes = scratch.save(_hashed(loose, range(tables + round_, tables + round_ + 1), functions, 1).join(loose, "rid"), "homes")
         first = scratch.save(homes.groupBy("bucket").agg(F.min(F.struct("rid", "unit")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("x.rid").alias("ball"), F.col("x.unit").alias("other")), "first")
-        near = _angles(homes.join(first, "bucket"), "rid long, ball long").filter(F.col("angle") <= full / 2 - 1e-6)
+        near = _compared(homes.join(first, "bucket"), "rid long, ball long").select("rid", "ball", angle.alias("angle")).filter(F.col("angle") <= full / 2 - 1e-6)
         near = scratch.save(near, "near")
         grown = near.groupBy("ball").agg(F.count("*").alias("n")).filter("n > 1").select("ball")
         near = near.join(scratch.save(grown, "grown"), "ball").select("rid", "ball", "angle")
@@ -211,18 +271,17 @@ def embedding_dedup(vectors: DataFrame, scratch: Scratch, least: float = 0.9) ->
 
     # Candidates: balls that meet in at least MEET tables.
     spots = scratch.save(_hashed(members.select("rid", "ball", "unit"), range(tables), functions, PROBES).select("bucket", "ball").distinct(), "spots")
-    busy = scratch.save(spots.groupBy("bucket").agg(F.min("ball").alias("lo"), F.max("ball").alias("hi")).filter("lo < hi").select("bucket"), "busy")
-    spots = scratch.save(spots.join(busy, "bucket"), "busy-spots")
-    a, b = spots.select("bucket", F.col("ball").alias("p")), spots.select("bucket", F.col("ball").alias("q"))
+    busy = scratch.save(spots.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "busy")
+    spots = scratch.save(spots.join(busy, "bucket").join(_signed(balls), "ball"), "busy-spots")
     table, masks = "cast(shiftright(bucket, 13) & 4095 as int)", [f"tables_{i}" for i in range(math.ceil(tables / 64))]
-    met = a.join(b, "bucket").filter("p < q").select("p", "q", F.expr(table).alias("table"))
+    met = _meetings(spots, full).select("p", "q", F.expr(table).alias("table"))
     met = met.groupBy("p", "q").agg(*[F.bit_or(F.expr(f"case when table div 64 = {i} then shiftleft(1L, table % 64) else 0L end")).alias(m) for i, m in enumerate(masks)])
     pairs = scratch.save(met.filter(reduce(add, [F.bit_count(m) for m in masks]) >= MEET).select("p", "q"), "pairs")
     sides = [balls.select(F.col("ball").alias(k), F.col("m").alias(f"m_{k}"), F.col("r").alias(f"r_{k}"), F.col("unit").alias(u)) for k, u in (("p", "unit"), ("q", "other"))]
-    met = _angles(pairs.join(sides[0], "p").join(sides[1], "q"), "p long, q long, m_p long, m_q long, r_p double, r_q double")
+    met = _compared(pairs.join(sides[0], "p").join(sides[1], "q"), "p long, q long, m_p long, m_q long, r_p double, r_q double").withColumn("angle", angle)
     met = scratch.save(met.withColumn("far", F.col("angle") + F.col("r_p") + F.col("r_q")).withColumn("close", F.col("angle") - F.col("r_p") - F.col("r_q")), "met")
     single = (F.col("m_p") == 1) & (F.col("m_q") == 1)
-    sure = F.when(single, F.cos("angle") >= least).otherwise(F.col("far") <= full - 1e-7)
+    sure = F.when(single, F.col("cosine") >= least).otherwise(F.col("far") <= full - 1e-7)
     all_linked = met.filter(sure)
     open_ = met.filter(~sure & ~single & (F.col("close") <= full + 1e-7)).select("p", "q", "m_p", "m_q")
     open_ = scratch.save(open_, "open")

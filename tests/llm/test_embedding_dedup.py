@@ -1,4 +1,8 @@
+import itertools
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rowlens.llm import embedding_dedup as ed
@@ -69,6 +73,55 @@ def test_recall_at_the_threshold():
     assert (met >= ed.MEET).mean() == 1.0
 
 
+def pairs_at(rng, n, d, cosine=0.9):
+    a, z = rng.normal(size=(2, n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine * cosine) * z
+
+
+@pytest.mark.parametrize(("functions", "d"), [*((f, 8) for f in range(3, 9)), *((f, 64) for f in range(3, 9)), *((f, 384) for f in range(3, 6))])
+def test_recall_of_any_number_of_functions(functions, d):
+    n = next(n for n in (10**k // 2 for k in range(1, 26)) if ed.parameters(max(1, n), d)[0] >= functions) if d > 8 or functions > 3 else 1
+    functions, tables = ed.parameters(n, d)
+    a, b = pairs_at(np.random.default_rng(29), 60, d)
+    met = sum((ed.table_buckets(a, t, functions)[:, :, None] == ed.table_buckets(b, t, functions)[:, None, :]).any(axis=(1, 2)).astype(int) for t in range(tables))
+    assert (met >= ed.MEET).mean() >= 0.99
+
+
+def test_probes_are_the_cheapest():
+    rng = np.random.default_rng(2)
+    for functions in (1, 2, 3, 5):
+        falls = np.sort(rng.random((functions, ed.NEAR)), axis=1)
+        falls -= falls[:, :1]
+        every = sorted(sum(falls[f][w[f]] for f in range(functions)) for w in itertools.product(range(ed.NEAR), repeat=functions))
+        some = sorted(sum(falls[f][w[f]] for f in range(functions)) for w in ed._ways(functions, ed.NEAR, ed.PROBES))
+        assert np.allclose(every[: ed.PROBES], some[: ed.PROBES])
+    assert len(ed._ways(8, ed.NEAR, ed.PROBES)) < 200
+
+
+def test_signs_lose_no_pair_at_the_threshold():
+    a, b = pairs_at(np.random.default_rng(4), 20_000, 64)
+    apart = np.unpackbits((ed.simhash(a) ^ ed.simhash(b)).view(np.uint8), axis=1).sum(axis=1)
+    share = math.acos(0.9) / math.pi
+    assert (apart <= ed.SIGNS * share + ed.SIGMAS * math.sqrt(ed.SIGNS * share * (1 - share))).all()
+
+
+def test_cosines_at_the_threshold(spark, scratch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(150):  # pairs within a few units in the last place of the threshold, on either side
+        a, b = pairs_at(rng, 1, 16, 0.9 + rng.choice([-1, 0, 1]) * 1e-15)
+        rows += [(2 * k, a[0].tolist()), (2 * k + 1, b[0].tolist())]
+    got = {r["vec_id"]: r["n_links"] for r in ed.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scratch).collect()}
+    x = np.array([v for _, v in rows])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    cos = np.einsum("ij,ij->i", x[::2], x[1::2])
+    assert [got[2 * k] for k in range(150)] == [int(c >= 0.9) for c in cos]
+
+
 def test_hadamard():
     x = np.eye(8)
     h = ed.hadamard(x)
