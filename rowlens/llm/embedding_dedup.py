@@ -31,7 +31,7 @@ MEET = 2  # tables in which a pair must meet
 MISSED = 2e-5  # share of pairs at the linking angle that may be missed, whatever the number and width of vectors
 MOST_TABLES = 4096 - 3  # of the bucket's 12 bits for tables, those of the balls apart
 BALL_ROUNDS = 3
-BLOCK = 1024
+BLOCK, SPOTS = 256, 1024  # vectors of a block of a ball, and balls of a block of a bucket, that are compared in one go
 SIGNS, SIGMAS = 128, 6.0  # signs of projections that must nearly agree before vectors are compared: 1e-9 of the pairs at the threshold are lost
 
 
@@ -205,11 +205,11 @@ def _meetings(spots: DataFrame, full: float) -> DataFrame:
 
     A large bucket is compared block against block. Signs differ by the angle's share of half a turn, give or take: SIGMAS deviations are allowed.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n") / SPOTS).cast("int")
     rows = spots.withColumn("own", F.pmod(F.xxhash64("ball"), blocks).cast("int"))
     sides = []
     for suffix, span in (("a", F.sequence(F.col("own"), blocks - 1)), ("b", F.sequence(F.lit(0), F.col("own")))):
-        x = rows.withColumn("their", F.explode(span))
+        x = rows.filter(blocks == 1).withColumn("their", F.lit(0)).union(rows.filter(blocks > 1).withColumn("their", F.explode(span)))
         i, j = ("own", "their") if suffix == "a" else ("their", "own")
         sides.append(x.select("bucket", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{c}_{suffix}") for c in ("ball", "r", "s1", "s2")]))
     share = f"(({full} + r_a + r_b) / pi())"

@@ -57,6 +57,7 @@ def test_against_all_pairs(spark, scratch):
 
 def test_blocks(spark, scratch, monkeypatch):
     monkeypatch.setattr(ed, "BLOCK", 5)
+    monkeypatch.setattr(ed, "SPOTS", 3)
     rows = data()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted((tuple(r) for r in ed.embedding_dedup(df, scratch).collect()), key=str) == model(rows)
