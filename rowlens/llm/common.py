@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,9 +21,11 @@ FILE_ROWS = 100_000  # of a scratch table with a known number of narrow rows
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (local tests)."""
+    """The folder that driver and executors share; one of our own only where none is set in a local session, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="rowlens-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
