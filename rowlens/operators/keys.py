@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +62,12 @@ def order_violations(df: DataFrame, block: Column, place: Column, key: list[Colu
 
 
 def check_sorted(side: Side, other: Side, key: list[str]) -> None:
-    """Raise if the side's rows, in file order, are not sorted by the key."""
+    """Raise if the side's rows, in file order, are not sorted by the key. Files follow each other by path; rows without files by partition."""
     forms = [key_form(side.column(k), side.kinds[k], other.kinds[k]) for k in key]
-    ids = side.df.select("*", F.monotonically_increasing_id().alias("_at"))
-    if not order_violations(ids, F.shiftright("_at", 33), F.col("_at"), forms).isEmpty():
+    at = F.monotonically_increasing_id()
+    try:  # a task may hold blocks of several files, in any order, but each block in order
+        rows = side.df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"), at.alias("_at"))
+    except AnalysisException:  # not read from files
+        rows = side.df.select("*", F.shiftright(at, 33).alias("_block"), at.alias("_at"))
+    if not order_violations(rows, F.col("_block"), F.col("_at"), forms).isEmpty():
         raise DiffError(f"{side.label or 'input'} is not sorted by the key ({', '.join(key)}); drop --assume-sorted")

@@ -37,14 +37,18 @@ def keyed_scores(left: Side, right: Side, key: list[str], removed: list[str], ad
 
 def jaccard_scores(left: Side, right: Side, removed: list[str], added: list[str]) -> list[tuple[str, str, int, int, int]]:
     """(removed column, added column, distinct left, distinct right, common) of each pair; null is a value."""
-    out = []
-    for a in removed:
-        for b in added:
-            x = left.df.select(content(left.column(a), left.kinds[a], right.kinds[b]).alias("v"), F.lit(1).alias("l"), F.lit(0).alias("r"))
-            y = right.df.select(content(right.column(b), right.kinds[b], left.kinds[a]).alias("v"), F.lit(0).alias("l"), F.lit(1).alias("r"))
-            got = x.union(y).groupBy("v").agg(F.max("l").alias("l"), F.max("r").alias("r")).agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.count_if((F.col("l") + F.col("r")) == 2).alias("both")).first()
-            out.append((a, b, got["l"] or 0, got["r"] or 0, got["both"] or 0))
-    return out
+    names = [(a, b) for a in removed for b in added]
+    values = [(content(left.column(a), left.kinds[a], right.kinds[b]), content(right.column(b), right.kinds[b], left.kinds[a])) for a, b in names]
+    by_kind: dict[str, list[int]] = {}
+    for i, kind in enumerate(left.df.select(*[v[0].alias(f"v{i}") for i, v in enumerate(values)]).schema):
+        by_kind.setdefault(kind.dataType.simpleString(), []).append(i)
+    found = {}
+    for some in by_kind.values():  # one pass over both sides for all pairs whose values have one type
+        x, y = (side.df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), values[i][s].alias("v")) for i in some])).alias("x")).select("x.*", F.lit(1 - s).alias("l"), F.lit(s).alias("r")) for s, side in enumerate((left, right)))
+        each = x.union(y).groupBy("pair", "v").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+        for r in each.groupBy("pair").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.count_if((F.col("l") + F.col("r")) == 2).alias("both")).collect():  # a row for each pair
+            found[r["pair"]] = (r["l"], r["r"], r["both"])
+    return [(a, b, *found.get(i, (0, 0, 0))) for i, (a, b) in enumerate(names)]
 
 
 def assign(scored: list[tuple[str, str, float]]) -> list[Rename]:

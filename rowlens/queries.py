@@ -5,7 +5,6 @@ The driver's tables have one version each, so each query derives a second versio
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -264,7 +263,7 @@ for _name, _where, _sql in (
     ("where_not_null", "o_orderpriority != null", "o_orderpriority IS NOT NULL"),
     ("where_range", "o_totalprice >= 1e3 AND o_totalprice < 150000 and o_orderkey > 100", "o_totalprice >= 1000 AND o_totalprice < 150000 AND o_orderkey > 100"),
     ("where_text_date", "o_orderdate >= '1995-03' AND o_orderdate < '1996'", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') >= '1995-03' AND strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') < '1996'"),
-    ("where_class_mismatch", "exact != 5 AND o_orderstatus != 1 AND o_orderpriority > 'A'", "o_orderpriority > 'A'"),
+    ("where_class_mismatch", "exact != 5 AND o_orderstatus != 1 AND o_orderpriority > '2'", "o_orderpriority > '2'"),
     ("where_int_eq_float", "o_custkey = 7.0", "o_custkey = 7"),
 ):
     QUERIES[_name], ORACLE_SQL[_name] = _filtered(_where, _sql)
@@ -371,7 +370,7 @@ def where_both_sides(spark, sf_dir):
 def cross_format(spark, sf_dir):
     """part as Parquet against part written to CSV, with some sizes changed on the way, and read with inferred types."""
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='rowlens-')}/{uuid.uuid4().hex}.csv"
+    at = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{uuid.uuid4().hex}.csv"
     part.withColumn("p_size", F.expr("case when p_partkey % 10 = 0 then p_size + 1 else p_size end")).write.option("header", True).csv(at)
     got = _counts(part, read_table(spark, at).df, key=("p_partkey",))
     return got.select("n_left", "n_right", F.col("added").cast("int").alias("added"), F.col("removed").cast("int").alias("removed"), "modified")

@@ -37,10 +37,21 @@ class Table:
     path: str
 
     def prefix(self, rows: int) -> DataFrame:
-        """The first rows of the file; of several files, some rows of each or of any."""
-        if self.format == "parquet":
-            return self.df.filter(F.col("_metadata.row_index") < rows)
-        return self.df.limit(rows)
+        """The first rows: of Parquet files in the order of their paths, of CSV files any."""
+        if self.format != "parquet":
+            return self.df.limit(rows)
+        files, k, counts = sorted(self.df.inputFiles()), 1, {}
+        while files and sum(counts.values()) < rows and k <= 2 * len(files):  # footers of the first files only
+            k, first = 2 * k, files[:k]
+            counts = {r[0]: r[1] for r in self.df.sparkSession.read.schema(self.df.schema).parquet(*first).groupBy("_metadata.file_path").count().collect()}
+            if len(first) == len(files):
+                break
+        wanted = F.lit(False)
+        for path in sorted(counts):
+            if rows > 0:
+                wanted = wanted | ((F.col("_metadata.file_path") == path) & (F.col("_metadata.row_index") < rows))
+                rows -= counts[path]
+        return self.df.filter(wanted)
 
 
 def read_table(spark: SparkSession, path: str, forced: str | None = None, multiline: bool = False) -> Table:

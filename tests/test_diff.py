@@ -6,6 +6,7 @@ import pytest
 
 from rowlens import DiffError, Options, diff, diff_files, diff_frames, plan
 from rowlens.cli import main
+from rowlens.sources.files import Table
 
 LEFT = "id,name,amount,status,legacy\n1,ann,10.0,open,x\n2,ben,20.5,open,y\n3,cat,30.0,closed,z\n4,dan,2.5,open,w\n5,eli,50.0,pending,v\n"
 RIGHT = "id,name,amount,status,email\n1,ann,10.0,open,a@x\n2,ben,20.50001,open,b@x\n3,cat,30.0,open,c@x\n4,dan,2.5,open,d@x\n6,fay,60.0,open,f@x\n"
@@ -213,3 +214,23 @@ def test_streaming_balance(spark, tmp_path):
     q = keyless_balance(*streams).writeStream.outputMode("complete").format("memory").queryName("balance").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["v"], r["balance"]) for r in spark.table("balance").collect()} == {(1, 1), (2, 1), (3, -1)}
+
+
+def test_assume_sorted_over_a_directory(spark, tmp_path):
+    at, other = str(tmp_path / "t"), str(tmp_path / "u")
+    for i, (lo, hi) in enumerate(((0, 10), (10, 100_000), (100_000, 100_020))):
+        spark.range(lo, hi, 1, 1).write.parquet(f"{at}/{i}.parquet")
+        spark.range(lo, hi, 1, 1).write.parquet(f"{other}/{2 - i}.parquet")
+    read = lambda p: spark.read.option("recursiveFileLookup", True).parquet(p)
+    assert not diff_frames(read(at), read(at), key="id", assume_sorted=True).has_differences
+    with pytest.raises(DiffError, match="not sorted"):
+        diff_frames(read(at), read(other), key="id", assume_sorted=True)
+
+
+def test_prefix_of_many_files(spark, tmp_path):
+    at = str(tmp_path / "t")
+    for i in range(7):
+        spark.range(100 * i, 100 * i + 100, 1, 1).coalesce(1).write.mode("append").parquet(f"{at}/{i}.parquet")
+    table = Table(spark.read.option("recursiveFileLookup", True).parquet(at), "parquet", at)
+    for n in (0, 1, 100, 101, 350, 700, 9000):
+        assert sorted(r[0] for r in table.prefix(n).collect()) == list(range(min(n, 700)))
