@@ -1,14 +1,16 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for what no rule covers.
 
-Everything is DataFrame expressions: features, bins, the histograms of each boosting step, and the trees themselves,
-which are nested CASE expressions. The driver only picks splits from histograms of a few hundred rows.
+Rules, features, statistics of suffixes, bins and the trees themselves are DataFrame expressions. The driver only
+fits the trees, on at most about FIT_ROWS labelled urls that come to it as counted cells of bins.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from .common import LOWER, Scratch, ascii_lower
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Bound on the labelled urls that trees are fitted on, drawn evenly by a hash of the url.
 FIT_ROWS = 20_000
-SUFFIXES = 64  # suffixes with statistics of their own; all others share one value
-BINS, TREES, DEPTH, RATE, RIDGE = 8, 8, 2, 0.4, 1.0
+FOLDS = 5
+BINS, TREES, DEPTH, RATE, RIDGE = 16, 32, 3, 0.3, 1.0
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -34,11 +36,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, or null."""
-    out = F.lit(None).cast("struct<rule: string, verdict: string>")
-    for rule, verdict in sorted(rules, key=lambda r: len(r[0])):
+    out = F.when(F.lit(False), F.lit(None).cast("struct<rule: string, verdict: string>"))
+    for rule, verdict in sorted(rules, key=lambda r: -len(r[0])):  # the longest that fits comes first
         at = rule.index("/")
         fits = ((host == rule[:at]) | host.endswith("." + rule[:at])) & path.startswith(rule[at:])
-        out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
+        out = out.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict")))
     return out
 
 
@@ -48,8 +50,8 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     low, n = ascii_lower(url), F.length(url)
     times = lambda s: (n - F.length(F.replace(low, F.lit(s)))).cast("double")
     digits = n - F.length(F.translate(url, "0123456789", ""))
-    kinds = [times(c) for c in LOWER + "0123456789/.-_?&=%"]
-    entropy = F.when(n > 0, reduce(lambda a, b: a + b, [F.when(k > 0, -k / n * F.log2(k / n)).otherwise(0.0) for k in kinds])).otherwise(0.0)
+    shares = F.transform(F.array(*[F.lit(c) for c in LOWER + "0123456789/.-_?&=%"]), lambda c: (n - F.length(F.replace(low, c))) / n)
+    entropy = F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a + F.when(p > 0, -p * F.log2(p)).otherwise(0.0))).otherwise(0.0)
     dots = F.length(host) - F.length(F.replace(host, F.lit(".")))
     return {
         "length": n.cast("double"), "host_length": F.length(host).cast("double"), "path_length": F.length(path).cast("double"), "depth": (F.length(path) - F.length(F.replace(path, F.lit("/")))).cast("double"), "host_labels": dots.cast("double"),
@@ -61,73 +63,53 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def _tree(histograms, nodes: dict[int, tuple]) -> None:
-    """Choose a split (feature, bin, gain) for each node of the level from its histogram rows."""
-    for node in {r["node"] for r in histograms}:
-        rows = [r for r in histograms if r["node"] == node]
-        best = None
-        features = sorted({r["f"] for r in rows})
-        total_g, total_h = (sum(r[k] for r in rows if r["f"] == features[0]) for k in ("g", "h"))
-        for f in features:
-            left_g = left_h = 0.0
-            for r in sorted((r for r in rows if r["f"] == f), key=lambda r: r["bin"]):
-                left_g, left_h = left_g + r["g"], left_h + r["h"]
-                right_g, right_h = total_g - left_g, total_h - left_h
-                if left_h < 1e-3 or right_h < 1e-3:
-                    continue
-                gain = left_g**2 / (left_h + RIDGE) + right_g**2 / (right_h + RIDGE) - total_g**2 / (total_h + RIDGE)
-                if gain > 1e-6 and (best is None or gain > best[2] + 1e-12):
-                    best = (f, r["bin"], gain)
-        nodes[node] = (best, total_g / (total_h + RIDGE))
-
-
-def boost(cells: DataFrame, features: list[str]) -> tuple[float, list[dict]]:
-    """Base margin and trees, fitted on cells (a bin column per feature, n rows, y of them blocked)."""
-    n, y = cells.agg(F.sum("n"), F.sum("y")).first()
-    if not n:
+def boost(bins: np.ndarray, n: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> tuple[float, list[tuple]]:
+    """Base margin and trees, fitted on cells: a row of bins each, n urls, y of them blocked.
+
+    A tree has a split (feature, last bin of the left side) for each level, the same for all nodes of it, and a value for each leaf, whose
+    number has a bit for each level, the first one highest. Splits have the largest gain in the second-order approximation of the log
+    loss, summed over the nodes; of equal gains the first.
+    """
+    total, blocked = n.sum(), y.sum()
+    if not total:
         return 0.0, []
-    base = math.log((y + 0.5) / (n - y + 0.5))
-    trees: list[dict] = []
-    if not 0 < y < n:
-        return base, trees
-    stacked = ", ".join(f"{i}, {f}" for i, f in enumerate(features))
-    for _ in range(TREES):
-        p = 1 / (1 + F.exp(-margin(base, trees, features)))
-        graded = cells.withColumn("g", F.col("y") - F.col("n") * p).withColumn("h", F.col("n") * p * (1 - p))
-        nodes: dict[int, tuple] = {}
-        for level in range(DEPTH + 1):
-            at = graded.withColumn("node", _node(nodes, features, level))
-            hist = at.selectExpr("node", "g", "h", f"stack({len(features)}, {stacked}) as (f, bin)").groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            rows = [r for r in hist.collect() if r["node"] >= (1 << level)]  # at most 2 ** level * features * bins rows
-            found: dict[int, tuple] = {}
-            _tree(rows, found)
-            if level == DEPTH:
-                found = {k: (None, v[1]) for k, v in found.items()}
-            nodes |= found
-            if all(v[0] is None for v in found.values()):
-                break
-        trees.append(nodes)
-        if nodes[1][0] is None:
+    base = math.log((blocked + 0.5) / (total - blocked + 0.5))
+    out: list[tuple] = []
+    score = np.full(len(n), base)
+    for _ in range(trees if 0 < blocked < total else 0):
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - n * p, n * p * (1 - p)
+        node, splits = np.zeros(len(n), dtype=np.int64), []
+        while len(splits) < depth and (split := best_split(bins, node, 1 << len(splits), g, h)):
+            splits.append(split)
+            node = 2 * node + (bins[:, split[0]] > split[1])
+        if not splits:
             break
-    return base, trees
-
-
-def _node(nodes: dict[int, tuple], features: list[str], level: int, at: int = 1) -> Column:
-    """The node of a row after level splits; leaves above that level keep their own number."""
-    split = nodes.get(at, (None,))[0]
-    if level == 0 or split is None:
-        return F.lit(at)
-    return F.when(F.col(features[split[0]]) <= split[1], _node(nodes, features, level - 1, 2 * at)).otherwise(_node(nodes, features, level - 1, 2 * at + 1))
-
-
-def margin(base: float, trees: list[dict], features: list[str]) -> Column:
-    def leaf(nodes: dict[int, tuple], at: int) -> Column:
-        split, value = nodes[at]
-        if split is None or 2 * at not in nodes or 2 * at + 1 not in nodes:
-            return F.lit(RATE * value)
-        return F.when(F.col(features[split[0]]) <= split[1], leaf(nodes, 2 * at)).otherwise(leaf(nodes, 2 * at + 1))
-
-    return reduce(lambda a, b: a + b, [leaf(t, 1) for t in trees], F.lit(base))
+        g, h = (np.bincount(node, weights=w, minlength=1 << len(splits)) for w in (g, h))
+        values = (g / (h + RIDGE)).tolist()
+        score += RATE * np.array(values)[node]
+        out.append((splits, values))
+    return base, out
+
+
+def best_split(bins: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> tuple[int, int] | None:
+    best, gain = None, 1e-6
+    for f in range(bins.shape[1]):
+        left_g, left_h = (np.cumsum(np.bincount(node * BINS + bins[:, f], weights=w, minlength=nodes * BINS).reshape(nodes, BINS), axis=1) for w in (g, h))
+        all_g, all_h = left_g[:, -1:], left_h[:, -1:]
+        gains = (left_g**2 / (left_h + RIDGE) + (all_g - left_g) ** 2 / (all_h - left_h + RIDGE) - all_g**2 / (all_h + RIDGE)).sum(axis=0)[:-1]
+        if gains.max() > gain + 1e-12:
+            best, gain = (f, int(gains.argmax())), gains.max()
+    return best
+
+
+def margin(base: float, trees: list[tuple], right: Callable[[int, int], Column]) -> Column:
+    """right says of a split whether a row goes to its right side."""
+    out = F.lit(base)
+    for splits, values in trees:
+        leaf = reduce(lambda a, b: a + b, [F.when(right(*s), 1 << k).otherwise(0) for k, s in enumerate(reversed(splits))], F.lit(1))
+        out = out + F.element_at(F.array(*[F.lit(RATE * v) for v in values]), leaf)
+    return out
 
 
 def filter_urls(pages: DataFrame, scratch: Scratch, rules=RULES, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -136,33 +118,35 @@ def filter_urls(pages: DataFrame, scratch: Scratch, rules=RULES, fit_rows: int =
     pages needs page_id and url; other columns are ignored. Labels are the urls that a rule decides. Null urls and urls
     without ``://`` have an empty host and path, fit no rule, and are judged by the trees on their letters. Without
     labelled urls the score is 0.5 and the verdict allow; with labels of one kind it follows the share of that kind.
-    Repeated rows are judged each; an empty table gives no rows.
+    Repeated rows are judged each; an empty table gives no rows. A suffix's share of blocked urls is counted over all labelled urls; for a
+    url that trees are fitted on, over those outside its own fold.
     """
     host, path = split_url(F.col("url"))
     base = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     base = base.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("suffix", suffix_of(F.col("host")))
-    labelled = base.filter("hit is not null").withColumn("y", (F.col("hit.verdict") == "block").cast("int"))
-    stats = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    common = stats.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()  # SUFFIXES rows, each suffix of a host label
-    total = stats.agg(F.sum("n").alias("n")).first()["n"] or 0
-    rare = 0.5
-    rate = F.lit(rare)
-    for r in common:
-        rate = F.when(F.col("suffix") == r["suffix"], F.lit((r["y"] + 1.0) / (r["n"] + 2.0))).otherwise(rate)
-    numbers = lexical(F.col("url"), F.col("host"), F.col("path")) | {"suffix_rate": rate}
+    labelled = base.filter("hit is not null").withColumn("y", (F.col("hit.verdict") == "block").cast("int")).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(23)), F.lit(FOLDS)))
+    folds = scratch.save(labelled.groupBy("suffix", "fold").agg(F.count("*").alias("fold_n"), F.sum("y").alias("fold_y")), "folds")
+    stats = folds.groupBy("suffix").agg(F.sum("fold_n").alias("all_n"), F.sum("fold_y").alias("all_y"))
+    total = folds.agg(F.sum("fold_n")).first()[0] or 0
+    numbers = lexical(F.col("url"), F.col("host"), F.col("path"))
+    names = [*numbers, "suffix_rate"]
     share = min(1.0, fit_rows / total) if total else 1.0
-    drawn = labelled.filter(F.pmod(F.xxhash64("url", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    drawn = scratch.save(drawn.select("y", *[c.alias(k) for k, c in numbers.items()]), "labelled")
-    cuts_row = drawn.agg(*[F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 1000).alias(k) for k in numbers]).first()
-    cuts = {k: sorted(set(cuts_row[k] or [])) for k in numbers}
-    features = [f"b_{k}" for k in numbers]
+    drawn = labelled.filter(F.pmod(F.xxhash64("url", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))).join(stats, "suffix").join(folds, ["suffix", "fold"])
+    others = (F.col("all_y") - F.col("fold_y") + 1.0) / (F.col("all_n") - F.col("fold_n") + 2.0)
+    drawn = scratch.save(drawn.select("y", *[c.alias(k) for k, c in numbers.items()], others.alias("suffix_rate")), "labelled")
+    cuts_row = drawn.agg(*[F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 1000).alias(k) for k in names]).first()
+    cuts = {k: sorted(set(cuts_row[k] or [])) for k in names}
+    features = [f"b_{k}" for k in names]
     binned = lambda k, c: reduce(lambda a, b: a + b, [(c > F.lit(float(x))).cast("int") for x in cuts[k]], F.lit(0)).alias(f"b_{k}")
-    cells = drawn.select("y", *[binned(k, F.col(k)) for k in numbers]).groupBy(*features).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    cells = scratch.save(cells.coalesce(2), "cells")
-    start, trees = boost(cells, features)
-    used = sorted({split[0] for t in trees for split, _ in t.values() if split})
-    scored = base.select("page_id", "host", "path", "hit", *[c.alias(k) for i, (k, c) in enumerate(numbers.items()) if i in used])
-    scored = scored.select("page_id", "host", "path", "hit", *[binned(k, F.col(k)) for i, k in enumerate(numbers) if i in used])
-    score = 1 / (1 + F.exp(-margin(start, trees, features)))
-    verdict = F.coalesce(F.col("hit.verdict"), F.when(score > 0.5, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), score.alias("score"))
+    cells = drawn.select("y", *[binned(k, F.col(k)) for k in names]).groupBy(*features).agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy(*features).collect()  # about fit_rows at most
+    table = np.array([tuple(r) for r in cells], dtype=np.int64).reshape(len(cells), len(features) + 2)
+    start, trees = boost(table[:, :-2], table[:, -2].astype(float), table[:, -1].astype(float))
+    used = sorted({f for splits, _ in trees for f, _ in splits})
+    if names.index("suffix_rate") in used:
+        base = base.join(stats, "suffix", "left")
+        numbers["suffix_rate"] = F.coalesce((F.col("all_y") + 1.0) / (F.col("all_n") + 2.0), F.lit(0.5))
+    scored = base.select("page_id", "host", "path", "hit", *[numbers[names[i]].alias(names[i]) for i in used])
+    score = 1 / (1 + F.exp(-margin(start, trees, lambda f, b: F.col(names[f]) > F.lit(float(cuts[names[f]][b])))))
+    scored = scored.select("page_id", "host", "path", "hit", score.alias("score"))
+    verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "score")
