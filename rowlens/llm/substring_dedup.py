@@ -5,11 +5,10 @@ A sort of all suffixes would move the corpus many times over; only suffixes that
 1. Anchors. In each 200-byte string the KGRAM-byte string with the smallest hash, leftmost first, is its anchor. Equal strings
    have equal anchors at equal places. Consecutive strings with the same anchor form a tile.
 2. Tiles whose anchor is unique in the corpus hold no repeats. Tiles with the same anchor and content repeat as a whole.
-3. What is left are tiles that share an anchor and differ somewhere. The tiles of all shards, aligned at their anchors, are merged by
-   interleave refinement: starting from any interleave of the shards' rows, each step takes the rows in their present order and
-   deals them, stably, by their next symbol, which is the step that merges Burrows-Wheeler transforms of shards. After a step for
-   each column the rows are in the order of their reversed prefixes, never having been sorted as strings. The common
-   prefixes of neighbours are carried along, and the intervals of rows that share their last 200 symbols are the repeats.
+3. What is left are tiles that share an anchor and differ somewhere. Aligned at their anchors, they are dealt to shards, and each shard gets its (positional)
+   Burrows-Wheeler transform. The transforms are merged by interleave refinement: starting from any interleave of the shards' rows, each step takes
+   the shards' next symbols in the present order and deals them, stably, by symbol, until the interleave is that of all rows, which have never been
+   sorted together. The common prefixes of neighbours are carried along, and the intervals of rows that share their last 200 symbols are the repeats.
 
 Positions, never bytes of all documents, are shuffled in steps 1 and 2. Texts are identified by a 128-bit hash, so copies share their results.
 """
@@ -32,6 +31,7 @@ LENGTH = 200
 KGRAM = 64
 SEGMENT = 1 << 20  # bytes handled at once; place numbers inside take less than 24 bits
 CHUNK = 30_000  # tiles refined together, unless one anchor has more
+SHARD = 4096  # tiles of a shard, whose transform is merged with those of the others
 #: Anchors with more differing tiles than this are resolved string by string, in as many tasks as there are strings.
 CROWD = 20_000
 PAD = 256  # the symbol outside a tile; no byte equals it
@@ -89,24 +89,49 @@ def tiles(text: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def repeated(rows: list[bytes], left: np.ndarray, n: np.ndarray) -> np.ndarray:
+def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positional Burrows-Wheeler transform of a shard of aligned rows (symbols: a row of symbols each).
+
+    Before each column the rows stand in the order of their reversed prefixes; its symbols in that order are the column of the transform. Also the orders
+    after each column from LENGTH - 1 on.
+    """
+    m, width = symbols.shape
+    order, out, orders = np.arange(m, dtype=np.int32), np.empty((width, m), dtype=np.uint16), np.empty((width - LENGTH + 1, m), dtype=np.int32)
+    symbols = np.ascontiguousarray(symbols.T)
+    for c in range(width):
+        out[c] = symbols[c][order]
+        order = order[np.argsort(out[c], kind="stable")]  # radix: rows go to their symbol's bucket in the order they come
+        if c >= LENGTH - 1:
+            orders[c - LENGTH + 1] = order
+    return out, orders
+
+
+def repeated(rows: list[bytes], left: np.ndarray, n: np.ndarray, shard: int = SHARD) -> np.ndarray:
     """For tiles aligned at their anchors, which of the strings from each column repeat: rows by first columns.
 
     Row r's first byte stands left[r] before its anchor and n[r] strings start in it, one in each of its first columns. Column c is LENGTH - KGRAM - c before the anchor.
+
+    The transforms of the shards are merged by refining their interleave, which starts as the shards one after the other: each step reads the
+    shards' next symbols in the present interleave and deals them, stably, by symbol. After a step for each column the interleave is that of the
+    transform of all rows. Common lengths with the row before are carried along.
     """
-    most, width = LENGTH - KGRAM, 2 * LENGTH - KGRAM
-    m = len(rows)
-    symbols = np.full((m, width), PAD, dtype=np.uint16)
-    for r, (text, a) in enumerate(zip(rows, left.tolist(), strict=True)):
-        symbols[r, most - a : most - a + len(text)] = np.frombuffer(text, dtype=np.uint8)
-    symbols = np.ascontiguousarray(symbols.T)
-    order, since = np.arange(m), np.zeros(m, dtype=np.int32)  # since: first column from which a row agrees with the one before it
+    most, width, m = LENGTH - KGRAM, 2 * LENGTH - KGRAM, len(rows)
+    shards = []
+    for lo in range(0, m, shard):
+        symbols = np.full((min(shard, m - lo), width), PAD, dtype=np.uint16)
+        for r, (text, a) in enumerate(zip(rows[lo : lo + shard], left[lo : lo + shard].tolist(), strict=True)):
+            symbols[r, most - a : most - a + len(text)] = np.frombuffer(text, dtype=np.uint8)
+        shards.append(transform(symbols))
+    source = np.repeat(np.arange(len(shards), dtype=np.uint16), [s[0].shape[1] for s in shards])  # the interleave: whose row stands where
+    places = np.arange(m)  # of the shards' rows in it, shard by shard, each shard's in its own order
+    since = np.zeros(m, dtype=np.int32)  # first column from which a row agrees with the one before it
     since[0] = 1
     out = np.zeros((m, most + 1), dtype=bool)
+    symbol, row = np.empty(m, dtype=np.uint16), np.empty(m, dtype=np.int64)
     for c in range(width):
-        symbol = symbols[c][order]
-        deal = np.argsort(symbol, kind="stable")  # radix: rows go to their symbol's bucket in the order they come
-        dealt = symbol[deal]
+        symbol[places] = np.concatenate([s[0][c] for s in shards])
+        deal = np.argsort(symbol, kind="stable")
+        dealt, source = symbol[deal], source[deal]
         same = np.empty(m, dtype=bool)
         same[0] = False
         np.equal(dealt[1:], dealt[:-1], out=same[1:])
@@ -117,16 +142,31 @@ def repeated(rows: list[bytes], left: np.ndarray, n: np.ndarray) -> np.ndarray:
             bounds[0::2], bounds[1::2] = deal[j - 1] + 1, deal[j] + 1
             padded = np.append(since, np.int32(0))
             fresh[j] = np.maximum.reduceat(padded, bounds)[0::2]
-        order, since = order[deal], fresh
+        since, places = fresh, np.argsort(source, kind="stable")
         if c >= LENGTH - 1:
             alike = since <= c + 1 - LENGTH
             alike[:-1] |= alike[1:]
-            out[order[alike], c + 1 - LENGTH] = True
+            row[places] = np.concatenate([s[1][c + 1 - LENGTH] + i * shard for i, s in enumerate(shards)])
+            out[row[alike], c + 1 - LENGTH] = True
     column = np.arange(most + 1)
     first = (most - left)[:, None]
     return out & (column >= first) & (column < first + n[:, None])
 
 
+def folded(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """Of a text's tiles: one of each, which of these come again in the text, and the runs (starts, strings) of all that do."""
+    anchor, t1, t2, start, n = found[:5]
+    if len(np.unique(t1)) == len(t1):
+        return np.arange(len(t1)), np.zeros(len(t1), dtype=bool), [], []
+    order = np.lexsort((start, t2, t1, anchor))
+    fresh = np.flatnonzero(np.concatenate([[True], *[np.any([x[order][1:] != x[order][:-1] for x in (anchor, t1, t2)], axis=0)]]))
+    times = np.diff(np.append(fresh, len(order)))
+    many = np.sort(order[np.repeat(times > 1, times)])
+    cut = np.concatenate([[True], start[many][1:] != start[many][:-1] + n[many][:-1]])
+    lo = np.flatnonzero(cut)
+    return order[fresh], times > 1, start[many][lo].tolist(), np.add.reduceat(n[many], lo).tolist()
+
+
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return list(zip(edge[0::2].tolist(), (edge[1::2] - edge[0::2]).tolist(), strict=True))
@@ -141,17 +181,28 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _tile_table(docs: DataFrame) -> DataFrame:
+    """The tiles of each text, one of each content; again marks those that come again in their text, whose runs are in the text's first such row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 texts = byte_list(whole.column("text").slice(lo, 256))
                 found = [tiles(t) for t in texts]
-                owner = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
-                columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+                kept = [folded(f) for f in found]
+                owner = np.repeat(np.arange(len(texts)), [len(k[0]) for k in kept])
+                columns = [np.concatenate([x[k[0]] for x, k in zip(some, kept, strict=True)]) for some in zip(*found, strict=True)]
+                again, runs = np.concatenate([k[1] for k in kept]), [[None] * len(owner), [None] * len(owner)]
+                at = 0
+                for rows, twice, *some in kept:
+                    if some[0]:
+                        for r, x in zip(runs, some, strict=True):
+                            r[at + int(np.argmax(twice))] = x
+                    at += len(rows)
                 keys = pa.array([_key(t) for t in texts], type=pa.binary()).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([keys, *(_longs(x) for x in columns[:3]), *(pa.array(x.astype(np.int32)) for x in columns[3:])], names=["key", "anchor", "t1", "t2", "start", "n", "left"])
+                lists = [pa.array(r, type=pa.list_(pa.int32())) for r in runs]
+                yield pa.RecordBatch.from_arrays([keys, *(_longs(x) for x in columns[:3]), *(pa.array(x.astype(np.int32)) for x in columns[3:]), pa.array(again), *lists], names=["key", "anchor", "t1", "t2", "start", "n", "left", "again", "starts", "counts"])
 
-    return docs.select("text").mapInArrow(tidy(run), "key binary, anchor long, t1 long, t2 long, start int, n int, left int")
+    return docs.select("text").mapInArrow(tidy(run), "key binary, anchor long, t1 long, t2 long, start int, n int, left int, again boolean, starts array<int>, counts array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -254,15 +305,18 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, with_text: bool = False)
     their own, so each is removed but for what is shorter than LENGTH. A null doc_id is kept as it is. An empty table gives no rows.
     """
     table = scratch.save(_tile_table(docs), "tiles")
-    anchors = table.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    anchors = table.groupBy("anchor").agg(F.count("*").alias("c"), F.bool_or("again").alias("again")).filter("c > 1 or again").select("anchor")
     anchors = scratch.save(anchors, "anchors")
     shared = scratch.save(prune_by_ids(table, anchors, "anchor").join(anchors, "anchor"), "shared")
+    runs = table.filter("starts is not null").select("key", F.explode(F.arrays_zip("starts", "counts")).alias("x")).select("key", F.col("x.starts").alias("start"), F.col("x.counts").alias("n"))
+    runs = scratch.save(runs, "own-runs")
     scratch.drop(table)
-    classes = scratch.save(shared.groupBy("anchor", "t1", "t2").agg(F.count("*").alias("c")), "classes")
-    where = shared.join(classes, ["anchor", "t1", "t2"]).select("key", "anchor", "t1", "t2", "start", "n", "left", "c")
+    shared = shared.drop("starts", "counts")
+    classes = scratch.save(shared.groupBy("anchor", "t1", "t2").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("c")), "classes")
+    where = shared.join(classes, ["anchor", "t1", "t2"]).select("key", "anchor", "t1", "t2", "start", "n", "left", "again", "c")
     where = scratch.save(where, "where")
     scratch.drop(shared)
-    sure = where.filter("c > 1").select("key", "start", "n").distinct()
+    sure = where.filter("c > 1 and not again").select("key", "start", "n").union(runs).distinct()
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("c").alias("least")).filter("k > 1 and least = 1").select("anchor", (F.col("k") > CROWD).alias("crowd"))
     mixed = scratch.save(mixed, "mixed")
     open_ = where.filter("c = 1").select("key", "anchor", "start", "n", "left", F.lit(True).alias("open"))
