@@ -30,7 +30,7 @@ SIGNATURE = BANDS * ROWS
 #: Chance that a pair at the threshold shares no band: (1 - 0.8 ** ROWS) ** BANDS, 2e-6; and to be pruned by the posterior:
 MISS = 1e-6
 STEP = 20  # hashes compared between two looks at the posterior
-BLOCK, BLOCK_SHINGLES = 512, 500_000  # classes of a block, and shingles of their sets (4 MB), at most about
+BLOCK, BLOCK_SHINGLES = 2048, 500_000  # classes of a block, and shingles of their sets (4 MB), at most about
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(1, 1 << 31, SIGNATURE, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _rng.integers(0, 1 << 32, SIGNATURE, dtype=np.int64).astype(np.uint32)
@@ -121,9 +121,9 @@ def _bands(classes: DataFrame) -> DataFrame:
             if b.num_rows:
                 got = buckets(_signatures(b.column("sig")))
                 ids = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(got.reshape(-1)), b.column("id").take(ids)], names=["bucket", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(got.reshape(-1)), b.column("id").take(ids), b.column("n").take(ids)], names=["bucket", "id", "n"])
 
-    return classes.select("id", "sig").mapInArrow(tidy(run), f"bucket long, id {dict(classes.dtypes)['id']}")
+    return classes.select("id", "n", "sig").mapInArrow(tidy(run), f"bucket long, id {dict(classes.dtypes)['id']}, n long")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -235,14 +235,14 @@ def _block_pairs(rows: dict[str, list], least: dict[int, int], percent: int) ->
 UNIT = ["bucket", "cell", "step", "i", "j"]
 
 
-def _units(labelled: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _units(labelled: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The rows of each unit of work: two blocks of a bucket's classes (or one twice) between which there is more than one component.
 
     Classes are dealt to cells by the size of their sets: sets that can link are in one cell or in two next to each other. A cell is dealt to
     blocks of bounded size. Rows: UNIT, side (0 left, 1 right), id, component.
     """
     cell = F.floor(F.log(F.col("n").cast("double")) / math.log(1.001 * 100 / percent)).cast("int")
-    rows = scratch.save(labelled.join(classes.select("id", "n"), "id").withColumn("cell", cell), "sized")
+    rows = scratch.save(labelled.withColumn("cell", cell), "sized")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     cells = scratch.save(rows.groupBy("bucket", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), blocks.alias("blocks")), "cells")
     after = cells.select("bucket", (F.col("cell") - 1).alias("cell"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("blocks").alias("others"))
@@ -345,11 +345,11 @@ def near_dedup(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
 
     # Buckets that still hold several components: pairs across them, block by block, first on signatures, then on the sets of
     # those that may link.
-    labelled = shared.select("bucket", "id").join(nodes, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    labelled = shared.select("bucket", "id", "n").join(nodes, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     labelled = scratch.save(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     mixed = scratch.save(mixed, "mixed", n)
-    rest = scratch.save(_units(labelled.join(mixed, "bucket"), classes, percent, scratch), "rest")
+    rest = scratch.save(_units(labelled.join(mixed, "bucket"), percent, scratch), "rest")
     met = scratch.save(_involved(rest.join(classes.select("id", "n", "sig"), "id"), least, percent), "met")
     more = scratch.save(_joining(met.join(classes.select("id", "n", "sig"), "id").join(sets, "id"), least, percent), "joining", n)
     if not more.isEmpty():

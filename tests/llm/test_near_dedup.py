@@ -68,8 +68,8 @@ def test_units_hold_all_pairs_that_may_link(spark, scratch, monkeypatch):
     rng = random.Random(3)
     rows = [(b, i, rng.choice([i, 0, 1]), rng.randint(1, 60)) for b in range(4) for i in rng.sample(range(200), 60)]
     sizes = {i: n for _, i, _, n in rows}
-    labelled = spark.createDataFrame([(b, i, c) for b, i, c, _ in rows], "bucket long, id long, component long")
-    units = nd._units(labelled, spark.createDataFrame(list(sizes.items()), "id long, n long"), 80, scratch).collect()
+    labelled = spark.createDataFrame([(b, i, c, sizes[i]) for b, i, c, _ in rows], "bucket long, id long, component long, n long")
+    units = nd._units(labelled, 80, scratch).collect()
     held = {}
     for u in units:
         held.setdefault(tuple(u[c] for c in nd.UNIT), ([], []))[u["side"]].append((u["id"], u["component"]))
