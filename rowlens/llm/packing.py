@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import unicodedata
 import zlib
 from bisect import bisect_right, insort
@@ -30,7 +31,7 @@ STEP_TOKENS = 64 * 2048
 WINDOW_TOKENS = 1 << 20
 CACHE_WORDS, CACHE_CHARS = 250_000, 48  # a worker keeps up to twice as many words, about 80 MB
 MARKS = ".,!?%$#&*|;:"  # signs that never join what stands before them
-COMPOSE = (b"\xcc", b"\xcd")  # first bytes of U+0300 to U+036F, where all marks lie that compose with A to Z or decompose to such
+COMPOSE = re.compile("[\u0300-\u036f]")  # all marks that compose with A to Z, or decompose to such, lie here
 BETWEEN = "<|endoftext|>"
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
 
@@ -88,13 +89,17 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # The normaliser would lower A to Z too, but first it composes marks with the letters before them, and special tokens are matched before it: texts that may hold either stay.
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        parts = [(t if "<|" in t or any(x in r for x in COMPOSE) else r.lower().decode("utf-8", "surrogatepass")).replace("\n", " ").split(" ") for t, r in zip(texts, raw, strict=True)]
+        # The normaliser would lower A to Z too; special tokens are matched before it, so texts that may hold one stay.
+        lower = lambda t: t.lower() if t.isascii() else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        parts = [(t if "<|" in t else lower(t)).replace("\n", " ").split(" ") for t in texts]
         if len(self.young) > CACHE_WORDS:  # words not met since the last turn are forgotten
             self.young, self.old = {"": b""}, self.young
         young, old, rare = self.young, self.old, {}
         missing = {w for p in parts for w in p if w not in young}
+        # Before it lowers letters it composes marks with them. Words with marks are never kept, so they are missing: their texts stay as they are.
+        if marked := {w for w in missing if COMPOSE.search(w)}:
+            parts = [p if marked.isdisjoint(p) else t.replace("\n", " ").split(" ") for p, t in zip(parts, texts, strict=True)]
+            missing = {w for p in parts for w in p if w not in young}
         back = {w: old[w] for w in missing if w in old}
         young.update(back)
         missing.difference_update(back)
@@ -111,7 +116,7 @@ class WordTokenizer:
         for w, (stem, marks) in joined.items():  # kept from the second time on, when the stem is known
             (young if stem in young and len(w) <= CACHE_CHARS else rare)[w] = (found[stem] if stem in found else young[stem]) + (found[marks] if marks in found else young[marks])
         for w, ids in found.items():
-            (young if len(w) <= CACHE_CHARS else rare)[w] = ids
+            (young if len(w) <= CACHE_CHARS and not COMPOSE.search(w) else rare)[w] = ids
         young.update(rare)
         out = [b"".join(map(young.__getitem__, p)) for p in parts]
         for w in rare:
