@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ CACHE_WORDS, CACHE_CHARS = 250_000, 48  # a worker keeps up to twice as many wor
 MARKS = ".,!?%$#&*|;:"  # signs that never join what stands before them
 COMPOSE = re.compile("[\u0300-\u036f]")  # all marks that compose with A to Z, or decompose to such, lie here
 BETWEEN = "<|endoftext|>"
+SIMPLE = "\u0250"  # letters before this are composed already and known to every version of the Unicode tables
+#: The byte-level alphabet: bytes that print stand for themselves, the others for the characters from U+0100 on.
+PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+ALPHABET = {b: 0x100 + n for n, b in enumerate(b for b in range(0x100) if b not in PRINTED)}
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
 
 
@@ -56,6 +61,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(BETWEEN)
         self.ends = None  # which ids end a word, if the vocabulary marks them
+        self.model = self.tokenizer.model
+        self.byte_level = b'"ByteLevel","add_prefix_space":false' in self.tokenizer.pre_tokenizer.__getstate__()
         if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -64,11 +71,24 @@ class WordTokenizer:
         self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, many to a call: words of letters alone with spaces between, told apart by the tokens that end a
-        word; others with a special token between; and one by one where neither tells them apart or a word may hold a special token."""
-        out, alone = {}, [w for w in words if "<|" in w]
-        plain = [w for w in words if w.isalpha()] if self.ends is not None else []
-        other = [w for w in words if "<|" not in w and not (self.ends is not None and w.isalpha())]
+        """Ids of words: lower-case words of simple letters by the model alone, since normalising and cutting leave them whole.
+        Others many to a call: words of letters with spaces between, told apart by the tokens that end a word; the rest with a special
+        token between; and one by one where neither tells them apart or a word may hold a special token."""
+        out, alone, plain, other, ids, lengths, simple = {}, [], [], [], [], [], []
+        tokenize, marked, quick = self.model.tokenize, self.ends is not None, self.ends is not None and self.byte_level
+        for w in words:
+            if marked and w.isalpha():
+                if quick and (w.isascii() or max(w) < SIMPLE) and w.lower() == w:
+                    tokens = tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(ALPHABET))
+                    ids += [t.id for t in tokens]
+                    lengths.append(4 * len(tokens))
+                    simple.append(w)
+                else:
+                    plain.append(w)
+            else:
+                (alone if "<|" in w else other).append(w)
+        packed, ends = np.asarray(ids, dtype="<u4").tobytes(), list(accumulate(lengths))
+        out.update((w, packed[j - n : j]) for w, n, j in zip(simple, lengths, ends, strict=True))
         for some, between in ((plain, " "), (other, BETWEEN)):
             for lo in range(0, len(some), 512):
                 part = some[lo : lo + 512]
@@ -95,19 +115,23 @@ class WordTokenizer:
         if len(self.young) > CACHE_WORDS:  # words not met since the last turn are forgotten
             self.young, self.old = {"": b""}, self.young
         young, old, rare = self.young, self.old, {}
-        missing = {w for p in parts for w in p if w not in young}
+        known = [list(map(young.get, p)) for p in parts]
+        absent = lambda: {w for p, k in zip(parts, known, strict=True) if None in k for w, ids in zip(p, k, strict=True) if ids is None}
+        missing = absent()
         # Before it lowers letters it composes marks with them. Words with marks are never kept, so they are missing: their texts stay as they are.
-        if marked := {w for w in missing if COMPOSE.search(w)}:
-            parts = [p if marked.isdisjoint(p) else t.replace("\n", " ").split(" ") for p, t in zip(parts, texts, strict=True)]
-            missing = {w for p in parts for w in p if w not in young}
+        if marked := COMPOSE.search(" ".join(missing)):
+            for i, (p, t) in enumerate(zip(parts, texts, strict=True)):
+                if any(ids is None and COMPOSE.search(w) for w, ids in zip(p, known[i], strict=True)):
+                    parts[i] = t.replace("\n", " ").split(" ")
+                    known[i] = list(map(young.get, parts[i]))
+            missing = absent()
         back = {w: old[w] for w in missing if w in old}
         young.update(back)
         missing.difference_update(back)
         # A word with marks after a letter or digit is cut there by the tokenizer too: its stem and its marks are looked up apart.
         joined, new = {}, set()
         for w in missing:
-            stem = w.rstrip(MARKS)
-            if stem and len(stem) < len(w) and _ends_in_letter(stem) and "<|" not in w:
+            if w[-1] in MARKS and (stem := w.rstrip(MARKS)) and _ends_in_letter(stem) and "<|" not in w:
                 joined[w] = halves = (stem, w[len(stem) :])
                 new.update(x for x in halves if x not in young)
             else:
@@ -116,9 +140,9 @@ class WordTokenizer:
         for w, (stem, marks) in joined.items():  # kept from the second time on, when the stem is known
             (young if stem in young and len(w) <= CACHE_CHARS else rare)[w] = (found[stem] if stem in found else young[stem]) + (found[marks] if marks in found else young[marks])
         for w, ids in found.items():
-            (young if len(w) <= CACHE_CHARS and not COMPOSE.search(w) else rare)[w] = ids
+            (young if len(w) <= CACHE_CHARS and not (marked and COMPOSE.search(w)) else rare)[w] = ids
         young.update(rare)
-        out = [b"".join(map(young.__getitem__, p)) for p in parts]
+        out = [b"".join([young[w] if ids is None else ids for w, ids in zip(p, k, strict=True)] if None in k else k) for p, k in zip(parts, known, strict=True)]
         for w in rare:
             del young[w]
         return out
