@@ -16,10 +16,11 @@ from .functions.cells import comparable, key_form
 from .operators.frames import Side
 from .operators.keyed import first_differences, keyed_samples, keyed_totals
 from .operators.keyless import keyless_differences, keyless_totals
-from .operators.keys import candidates, duplicate_keys, order_violations, profile
+from .operators.keys import candidates, check_sorted, duplicate_keys, order_violations, profile
 from .operators.renames import jaccard_scores, keyed_scores
-from .plans.config import Options
+from .plans.config import DiffError, Options
 from .plans.schema import compare_schemas
+from .report import IDENTICAL, MORE
 from .sources.files import infer_csv, read_table
 
 QUERIES = {}
@@ -39,6 +40,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_path(spark: SparkSession, suffix: str) -> str:
+    """A new place in the folder that driver and executors share."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{uuid.uuid4().hex}{suffix}"
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """orders, and a version with some orders gone, some new, some prices changed and some priorities lost."""
     left = _table(spark, sf_dir, "orders")
@@ -370,7 +376,81 @@ def where_both_sides(spark, sf_dir):
 def cross_format(spark, sf_dir):
     """part as Parquet against part written to CSV, with some sizes changed on the way, and read with inferred types."""
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
-    at = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{uuid.uuid4().hex}.csv"
+    at = _shared_path(spark, ".csv")
     part.withColumn("p_size", F.expr("case when p_partkey % 10 = 0 then p_size + 1 else p_size end")).write.option("header", True).csv(at)
     got = _counts(part, read_table(spark, at).df, key=("p_partkey",))
     return got.select("n_left", "n_right", F.col("added").cast("int").alias("added"), F.col("removed").cast("int").alias("removed"), "modified")
+
+
+_SORTABLE = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+
+
+@query("SELECT name, bool_and(NOT lower) AS is_sorted FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, coalesce({c} < lag({c}) OVER (ORDER BY o_orderkey), false) AS lower FROM orders" for c in _SORTABLE) + ") GROUP BY name")
+def sorted_check_files(spark, sf_dir):
+    """By which columns orders are sorted, in file order, once written to files in the order of o_orderkey."""
+    at = _shared_path(spark, "")
+    _table(spark, sf_dir, "orders").orderBy("o_orderkey").write.parquet(at)
+    side, out = Side.of(spark.read.parquet(at), "l"), []
+    for name in _SORTABLE:
+        try:
+            check_sorted(side, side, [name])
+            out.append((name, True))
+        except DiffError:
+            out.append((name, False))
+    return spark.createDataFrame(out, "name string, is_sorted boolean")
+
+
+@query(f"""
+WITH l AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
+r AS (SELECT k, CASE WHEN k % 101 = 0 THEN c + 1 ELSE c END AS c FROM l WHERE k % 97 <> 0 UNION ALL SELECT k + 100000000, c FROM l WHERE k % 89 = 0),
+j AS (SELECT coalesce(l.k, r.k) AS k, l.c AS a, r.c AS b, CASE WHEN l.k IS NULL THEN 'added' WHEN r.k IS NULL THEN 'removed' WHEN l.c <> r.c THEN 'modified' END AS change
+      FROM l FULL OUTER JOIN r ON l.k = r.k),
+s AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY k) AS place FROM j WHERE change IS NOT NULL),
+t AS (SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified,
+             count(*) FILTER (place > 10) AS more, (SELECT count(*) FROM l) AS nl, (SELECT count(*) FROM r) AS nr FROM s),
+lines AS (
+SELECT 0 AS part, 0 AS place, 'Schema' AS line
+UNION ALL SELECT 1, 0, '  {IDENTICAL}'
+UNION ALL SELECT 2, 0, 'Key: o_orderkey'
+UNION ALL SELECT 3, 0, 'Rows: ' || nl || ' → ' || nr FROM t
+UNION ALL SELECT 4, 0, '  + ' || added || ' added' FROM t
+UNION ALL SELECT 5, 0, '  - ' || removed || ' removed' FROM t
+UNION ALL SELECT 6, 0, '  ~ ' || modified || ' modified' || CASE WHEN modified > 0 THEN '  (o_custkey: ' || modified || ')' ELSE '' END FROM t
+UNION ALL SELECT 7, 0, ''
+UNION ALL SELECT 8, place, '~ o_orderkey=' || k || '  o_custkey: ' || a || ' → ' || b FROM s WHERE change = 'modified' AND place <= 10
+UNION ALL SELECT 9, place, '+ o_orderkey=' || k FROM s WHERE change = 'added' AND place <= 10
+UNION ALL SELECT 10, place, '- o_orderkey=' || k FROM s WHERE change = 'removed' AND place <= 10
+UNION ALL SELECT 11, 0, '{MORE.format("' || more || '")}' FROM t WHERE more > 0)
+SELECT row_number() OVER (ORDER BY part, place) AS place, line FROM lines
+""")
+def report_text(spark, sf_dir):
+    """The lines of the text report on two versions of orders."""
+    left = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    right = left.filter("o_orderkey % 97 != 0").withColumn("o_custkey", F.expr("case when o_orderkey % 101 = 0 then o_custkey + 1 else o_custkey end"))
+    right = right.unionByName(left.filter("o_orderkey % 89 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000))
+    lines = diff_frames(left, right, key="o_orderkey").to_text().split("\n")[:-1]  # a report has a bounded number of lines
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place long, line string")
+
+
+_CONFLICTS = {
+    "keyless with key": (Options(keyless=True, key=("o_orderkey",)), "--keyless and --key are mutually exclusive"),
+    "keyless with tolerance": (Options(keyless=True, tol_abs=1.0), "float tolerances are not supported in keyless mode (rows are matched by exact content)"),
+    "keyless with assume_sorted": (Options(keyless=True, assume_sorted=True), "--assume-sorted requires a key (keyless mode does not follow file order)"),
+    "assume_sorted without key": (Options(assume_sorted=True), "--assume-sorted requires an explicit --key"),
+    "key in neither": (Options(key=("nothing",)), "key column `nothing` must exist in both tables (shared columns: o_orderkey, o_custkey)"),
+    "where on neither": (Options(key=("o_orderkey",), where="nothing = 1"), "--where column `nothing` must exist in both tables (shared columns: o_orderkey, o_custkey)"),
+    "none": (Options(key=("o_orderkey",), tol_abs=1.0, assume_sorted=True), ""),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{message}')" for name, (_, message) in _CONFLICTS.items()) + ") AS t(name, message)")
+def option_errors(spark, sf_dir):
+    """What planning says of options that cannot go together; nothing of the table is read."""
+    orders, out = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), []
+    for name, (options, _) in _CONFLICTS.items():
+        try:
+            plan(orders, orders, options)
+            out.append((name, ""))
+        except DiffError as e:
+            out.append((name, str(e)))
+    return spark.createDataFrame(out, "name string, message string")
