@@ -397,6 +397,8 @@ def sorted_check_files(spark, sf_dir):
             out.append((name, True))
         except DiffError:
             out.append((name, False))
+    where = spark._jvm.org.apache.hadoop.fs.Path(at)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return spark.createDataFrame(out, "name string, is_sorted boolean")
 
 
